@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import op05_simhash
+from graphloom.llm import op02_toxicity, op04_pii, op05_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash_neardup": op05_simhash.op5_simhash_neardup}
+    return {
+        "op2_toxicity": op02_toxicity.op2_toxicity,
+        "op4_pii": op04_pii.op4_pii,
+        "op5_simhash_neardup": op05_simhash.op5_simhash_neardup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
