@@ -5,6 +5,9 @@ are running sums of token lengths, and a count of leading bytes maps bytes to ch
 as the library does. Decoding gathers the tokens' bytes through the reversed byte table; a character that is split over tokens comes back when
 its bytes are together, and bytes that never make a character become U+FFFD.
 
+A pre-token never crosses the begin of a white-space run, so a text is cut there; a piece that came before has its ids already, and the new ones of
+a batch go to the library as one text. What is remembered is bounded (REMEMBERED pieces) and only saves work.
+
 The vocabulary file is read by the driver alone (its path is a parameter) and travels to the workers with the code.
 
 Defined results: a null text has null arrays and 0 tokens; an empty text has empty arrays; special tokens' strings in a text are ordinary text; a null doc_id
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import _shared as S
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+REMEMBERED = 500_000
 SCHEMA = "doc_id long, n_tokens int, ids array<int>, starts array<int>, ends array<int>, round_trip boolean"
 
 
@@ -38,6 +42,30 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLAIN = np.zeros(256, bool)  # ASCII bytes that are surely no white space
+_PLAIN[0x21:0x7F] = True
+_WIDE = np.zeros(256, bool)  # first bytes of the characters beyond ASCII among which no white space is
+_WIDE[[0xC3, *range(0xC4, 0xE1), *range(0xE4, 0xF5)]] = True
+
+
+def closed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each of these places (none of them 0) is surely no white space of any kind."""
+    a, b, c = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    two, three = b >= 0xC0, (b & 0xC0) == 0x80
+    return _PLAIN[a] | ((a & 0xC0) == 0x80) & (two & _WIDE[b] | three & ((c >= 0xC0) & _WIDE[c] | ((c & 0xC0) == 0x80)))
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Begins of the pieces: rows, and ASCII white space after a character that is none."""
+    at = np.flatnonzero(_SPACE[data[1:]] & ~_SPACE[data[:-1]]) + 1
+    here = np.zeros(len(data), bool)
+    here[at[closed(data, at)]] = True
+    here[starts[:-1][np.diff(starts) > 0]] = True
+    return np.flatnonzero(here)
+
+
 class Codec:
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -53,10 +81,56 @@ class Codec:
         self.size = np.array([len(p) for p in pieces], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.pool = np.frombuffer(b"".join(pieces), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.known_at, self.known_size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known_ids = np.zeros(0, np.int32)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all rows one after another, and where each row's ids begin (one more entry at the end)."""
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
+        begin = cuts(data, starts)
+        end = np.append(begin[1:], len(data))
+        h, one, which = np.unique(S.word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        there = np.zeros(len(h), bool)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            there = self.known[at] == h
+        if not there.all():
+            self.learn(data, h[~there], begin[one[~there]], end[one[~there]])
+        at = np.searchsorted(self.known, h)[which]
+        size, first = self.known_size[at], self.known_at[at]
+        ends = np.cumsum(size)
+        ids = self.known_ids[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]))]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(begin, starts)]
+
+    def learn(self, data: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encode new pieces. Those that begin with white space and end without go to the library side by side, the others one by one."""
+        joined = _SPACE[data[begin]] & closed(data, end)
+        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
+        b, e, n = begin[order], end[order], int(joined.sum())
+        size = e - b
+        ends = np.cumsum(size)
+        text = data[np.repeat(b - (ends - size), size) + np.arange(int(ends[-1]))]
+        found = [np.zeros(0, np.int32)]
+        if n:
+            found += self.ids([text[: ends[n - 1]].tobytes().decode()])
+        counts = np.diff(np.searchsorted(np.cumsum(self.size[found[-1]]), ends[:n], side="left") + 1, prepend=0) if n else np.zeros(0, np.int64)
+        alone = self.ids([text[x - y : x].tobytes().decode() for x, y in zip(ends[n:].tolist(), size[n:].tolist(), strict=True)]) if n < len(order) else []
+        counts = np.concatenate([counts, np.array([len(a) for a in alone], np.int64)]).astype(np.int64)
+        first = len(self.known_ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])
+        self.known_ids = np.concatenate([self.known_ids, *found, *alone])
+        known = np.concatenate([self.known, h[order]])
+        sort = np.argsort(known, kind="stable")
+        self.known, self.known_at, self.known_size = known[sort], np.concatenate([self.known_at, first])[sort], np.concatenate([self.known_size, counts])[sort]
+
     def bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all tokens, one after another."""
         ids = np.asarray(ids, np.int64)
@@ -102,12 +176,10 @@ def codec(spec: str) -> Codec:
 def _encoder(spec: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec)
-        for b in S.slices(batches, "text", 4_000_000):
+        for b in S.slices(batches, "text", 2_000_000):
             text = b.column(1)
-            found = own.ids([t or "" for t in text.to_pylist()])
-            edges = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-            ids = np.concatenate(found) if found else np.zeros(0, np.int32)
             data, starts = S.bytes_of(text)
+            ids, edges = own.encode(data, starts)
             begin, end = own.offsets(ids, data, starts, edges)
             wrong = np.concatenate([[0], np.cumsum(own.bytes(ids) != data)])
             missing = pa.compute.is_null(text).to_numpy(zero_copy_only=False)
