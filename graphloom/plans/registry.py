@@ -4,12 +4,375 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as T
+from graphloom.operators import evaluate, graph, ingest, retrieve
+from graphloom.plans import star
+from graphloom.plans.star import ENTITIES, TRIPLETS, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def questions(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+
+
+def documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("description"), F.col("text").alias("original_text"))
+
+
+TOP = r"""
+w AS (SELECT item_id AS q_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 2)) AS w FROM benchmark),
+counted AS (SELECT q_id, w, count(*) AS n FROM w GROUP BY ALL),
+d AS (SELECT doc_id AS id, lower(substr(text, 1, 200)) AS de, lower(text) AS o, text FROM documents),
+scored AS (
+  SELECT q_id, id, CAST(sum(n * (2 * CAST(contains(de, w) AS INT) + CAST(contains(o, w) AS INT))) AS INT) AS score
+  FROM counted, d WHERE contains(o, w) GROUP BY q_id, id
+),
+top AS (SELECT q_id, id, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= 5)
+"""
+
+
+@query(f"WITH {TOP} SELECT * FROM top")
+def lexical_topk(spark, sf):
+    return retrieve.lexical_topk(questions(spark, sf), documents(spark, sf))
+
+
+@query(f"""WITH {TOP} SELECT b.item_id AS q_id, coalesce(string_agg(substr(d.text, 1, 500), chr(10) || chr(10) ORDER BY rank), '{T.NOTHING_FOUND}') AS context
+FROM benchmark b LEFT JOIN top ON top.q_id = b.item_id LEFT JOIN d ON d.id = top.id GROUP BY 1""")
+def lexical_context(spark, sf):
+    q, d = questions(spark, sf), documents(spark, sf)
+    return retrieve.lexical_context(retrieve.lexical_topk(q, d), d, q)
+
+
+@query("""SELECT b.item_id AS q_id, any_value(b.text) || ' ' || coalesce(string_agg(l, ' ' ORDER BY k), '') AS query
+FROM benchmark b LEFT JOIN (SELECT DISTINCT doc_id AS k, regexp_extract(text, '^[^\\s]+') AS l FROM documents) ON contains(lower(b.text), lower(l)) GROUP BY 1""")
+def query_expand(spark, sf):
+    labels = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.regexp_extract("text", r"^[^\s]+", 0).alias("label")).distinct()
+    return retrieve.expanded(questions(spark, sf), labels)
+
+
+UNITS = r"""
+p AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+u AS (
+  SELECT doc_id, CASE WHEN length(t) > 1200 THEN list_filter(list_transform(regexp_split_to_array(t, '[.!?;]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') ELSE [t] END AS s,
+         CASE WHEN length(t) > 1200 THEN '. ' ELSE chr(10) || chr(10) END AS tail FROM p WHERE t <> ''
+)"""
+PACKED = rf"""WITH RECURSIVE {UNITS},
+r AS (
+  SELECT doc_id, s, tail, 0 AS i, '' AS cur, '' AS emit, false AS out FROM u
+  UNION ALL
+  SELECT doc_id, s, tail, i + 1, CASE WHEN i >= len(s) THEN '' WHEN length(cur) + length(s[i + 1]) + 2 > 1200 THEN s[i + 1] || tail ELSE cur || s[i + 1] || tail END,
+         regexp_replace(cur, '^\s+|\s+$', '', 'g'), cur <> '' AND (i >= len(s) OR length(cur) + length(s[i + 1]) + 2 > 1200)
+  FROM r WHERE i <= len(s)
+),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_no, emit AS text FROM r WHERE out)
+"""
+
+
+@query(f"{PACKED} SELECT * FROM chunks")
+def chunk_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "text"))
+
+
+@query(f"{PACKED} SELECT CAST(count(*) AS BIGINT) AS chunks, CAST(max(length(text)) AS INT) AS longest, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM chunks")
+def chunk_stats(spark, sf):
+    return chunk_documents(spark, sf).agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("text")).alias("longest"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(r"""SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1 AND w NOT IN ('là','gì','của','trong','vào','từ','đến','với','và','hoặc','các','những'))[1:5], ' ') AS keywords FROM benchmark""")
+def keywords(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", T.keywords(F.col("text")).alias("keywords"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'ai') THEN 'person' WHEN contains(lower(text), 'cái gì') THEN 'thing' WHEN contains(lower(text), 'ở đâu') THEN 'location'
+WHEN contains(lower(text), 'khi nào') THEN 'time' WHEN contains(lower(text), 'tại sao') THEN 'reason' ELSE '' END AS category FROM conversations""")
+def question_category(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.category(F.col("text")).alias("category"))
+
+
+@query(f"WITH {TRIPLETS} SELECT subject_id, predicate, object_id, min(seq) AS seq FROM t GROUP BY ALL")
+def triplet_dedup(spark, sf):
+    return graph.dedup_triplets(star.triplets(spark, sf))
+
+
+@query("""WITH x AS (SELECT user_id, event_id, event_type, event_type || ' ' || (event_id % 97) AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+kv AS (SELECT user_id, event_id, 'k' || (event_id % 5) AS k, CAST(value AS VARCHAR) AS raw, event_id AS v FROM events),
+last AS (SELECT user_id, k, arg_max(v, event_id) AS v FROM kv GROUP BY ALL),
+props AS (SELECT user_id, string_agg(k || '=' || v, ',' ORDER BY k) AS properties FROM last GROUP BY 1),
+labels AS (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS label FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1)
+SELECT CAST(x.user_id AS VARCHAR) AS id, any_value(labels.label) AS label, arg_min(event_type, event_id) AS type, arg_min(d, (-length(d)) * 1000000000000 + event_id) AS description,
+  any_value(props.properties) AS properties, min(event_id) AS seq FROM x JOIN props USING (user_id) JOIN labels USING (user_id) GROUP BY x.user_id""")
+def entity_merge_events(spark, sf):
+    e = table(spark, sf, "events")
+    rows = e.select(
+        F.col("user_id").cast("string").alias("id"),
+        F.array("event_type").alias("label"),
+        F.col("event_type").alias("type"),
+        F.concat("event_type", F.lit(" "), (F.col("event_id") % 97).cast("string")).alias("description"),
+        F.lit("").alias("original_text"),
+        F.create_map(F.concat(F.lit("k"), (F.col("event_id") % 5).cast("string")), F.col("event_id").cast("string")).alias("properties"),
+        F.create_map().cast("map<string,string>").alias("metadata"),
+        F.col("event_id").alias("seq"),
+    )
+    m = graph.merge_entities(rows)
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda p: F.concat(p["key"], F.lit("="), p["value"]))), ",")
+    return m.select("id", F.array_join(F.array_sort("label"), ",").alias("label"), "type", "description", pairs.alias("properties"), "seq")
+
+
+@query("""WITH keys AS (SELECT 'p_' || p_partkey AS key, p_partkey AS seq, 0 AS pos FROM part UNION ALL SELECT lower(p_name), p_partkey, 1 FROM part)
+SELECT key, 'p_' || arg_max(seq, seq * 2 + pos) AS entity_id FROM keys GROUP BY key""")
+def entity_index_lww(spark, sf):
+    return graph.entity_index(star.entities(spark, sf).where("type = 'part'")).select("key", "entity_id")
+
+
+PARTIAL = "e2 AS (SELECT * FROM e WHERE type <> 'part' OR seq % 3 <> 0)"
+
+
+def some_entities(spark, sf):
+    return star.entities(spark, sf).where("type <> 'part' or seq % 3 <> 0")
+
+
+@query(f"WITH {ENTITIES}, {TRIPLETS}, {PARTIAL} SELECT subject_id, predicate, object_id, t.seq FROM t JOIN e2 a ON a.id = subject_id JOIN e2 b ON b.id = object_id")
+def edges_resolved(spark, sf):
+    return graph.resolved(star.triplets(spark, sf), some_entities(spark, sf)).select("subject_id", "predicate", "object_id", "seq")
+
+
+@query(f"""WITH {ENTITIES}, {TRIPLETS}, {PARTIAL}, d AS (SELECT DISTINCT subject_id, predicate, object_id FROM t)
+SELECT d.*, a.id IS NULL AS no_subject, b.id IS NULL AS no_object FROM d LEFT JOIN e2 a ON a.id = subject_id LEFT JOIN e2 b ON b.id = object_id WHERE a.id IS NULL OR b.id IS NULL""")
+def edges_dangling(spark, sf):
+    return graph.dangling(graph.dedup_triplets(star.triplets(spark, sf)), some_entities(spark, sf))
+
+
+@query(f"WITH {ENTITIES}, {TRIPLETS} SELECT id, type FROM e WHERE id NOT IN (SELECT subject_id FROM t WHERE predicate <> 'supplies') AND id NOT IN (SELECT object_id FROM t WHERE predicate <> 'supplies')")
+def nodes_isolated(spark, sf):
+    g = star.graph(spark, sf)
+    return graph.isolated(g.triplets.where("predicate <> 'supplies'"), g.entities).select("id", "type")
+
+
+@query(f"""WITH {ENTITIES}, {TRIPLETS}, {PARTIAL}, d AS (SELECT DISTINCT subject_id, predicate, object_id FROM t)
+SELECT d.*, coalesce(a.name, '') || ' ' || predicate || ' ' || coalesce(b.name, '') AS text FROM d LEFT JOIN e2 a ON a.id = subject_id LEFT JOIN e2 b ON b.id = object_id""")
+def relation_chunk_text(spark, sf):
+    return graph.relation_texts(graph.dedup_triplets(star.triplets(spark, sf)), graph.entity_index(some_entities(spark, sf)))
+
+
+@query("SELECT doc_id AS entity_id, CASE WHEN length(source || ' ' || text) > 500 THEN substr(source || ' ' || text, 1, 500) || '...' ELSE source || ' ' || text END AS text FROM documents")
+def entity_chunk_text(spark, sf):
+    return graph.entity_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("description"), F.col("text").alias("original_text")))
+
+
+@query(f"WITH {ENTITIES} SELECT type, count(*) AS n, min(seq) AS first_seq FROM e GROUP BY type")
+def type_histogram(spark, sf):
+    return graph.type_histogram(star.entities(spark, sf))
+
+
+@query(f"WITH {ENTITIES}, {TRIPLETS}, n AS (SELECT (SELECT count(*) FROM e) AS entities, (SELECT count(*) FROM t) AS triplets) SELECT *, triplets / entities AS ratio, triplets / entities < 1 AS sparse FROM n")
+def kg_ratio(spark, sf):
+    return graph.ratio(star.graph(spark, sf))
+
+
+@query("""SELECT 3::BIGINT * 1000000000 + c_custkey AS seq, '- c_' || c_custkey || ' (customer): ' || c_name AS line FROM customer ORDER BY c_custkey DESC LIMIT 100""")
+def last_100_summary(spark, sf):
+    return graph.summary_of_last(star.entities(spark, sf).where("type = 'customer'"))
+
+
+NEAR = """
+q AS (SELECT vec_id AS q_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20), a AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q_id, id, round(list_cosine_similarity(q.v, a.v), 6) AS score FROM q, a),
+near AS (SELECT q_id, id, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 5)
+"""
+
+
+def vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.where("vec_id < 20").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query(f"WITH {NEAR} SELECT * FROM near")
+def vector_topk(spark, sf):
+    return retrieve.vector_topk(*vectors(spark, sf))
+
+
+@query(f"""WITH {NEAR}, both_ AS (SELECT q_id, id, 0 AS source, rank FROM near WHERE rank <= 3 UNION ALL SELECT q_id, id % 500 AS id, 1, rank FROM near WHERE rank <= 2),
+first AS (SELECT q_id, id, min(source * 10 + rank) AS at FROM both_ GROUP BY ALL)
+SELECT q_id, id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY at) AS INT) AS rank FROM first QUALIFY rank <= 3""")
+def hybrid_context(spark, sf):
+    near = retrieve.vector_topk(*vectors(spark, sf))
+    both = near.where("rank <= 3").select("q_id", "id", F.col("rank").alias("at")).union(near.where("rank <= 2").select("q_id", F.col("id") % 500, F.col("rank") + 10))
+    first = both.groupBy("q_id", "id").agg(F.min("at").alias("at"))
+    return first.select("q_id", "id", F.row_number().over(Window.partitionBy("q_id").orderBy("at")).alias("rank")).where("rank <= 3")
+
+
+def with_options(spark, sf):
+    part = lambda k: F.substring("text", 1 + 60 * k, 60)
+    return table(spark, sf, "documents").select("doc_id", F.array(*[part(k) for k in range(4)]).alias("options"), F.substring("text", 200, 400).alias("context"))
+
+
+@query(r"""WITH o AS (SELECT doc_id, [substr(text, 1, 60), substr(text, 61, 60), substr(text, 121, 60), substr(text, 181, 60)] AS options, lower(substr(text, 200, 400)) AS c FROM documents),
+s AS (SELECT doc_id, list_transform(options, lambda x: len(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: length(w) > 3 AND contains(c, w)))) AS s FROM o)
+SELECT doc_id, CASE WHEN list_max(s) > 0 THEN chr(CAST(64 + list_position(s, list_max(s)) AS INT)) ELSE 'A' END AS answer FROM s""")
+def option_argmax(spark, sf):
+    o = with_options(spark, sf)
+    return o.select("doc_id", evaluate.best_option(evaluate.option_scores(F.col("options"), F.col("context"))).alias("answer"))
+
+
+ALONE = r"regexp_extract(u, '(^|[^\p{L}\p{N}_])([ABCD])($|[^\p{L}\p{N}_])', 2)"
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, regexp_replace(upper(text), '^\s+|\s+$', '', 'g') AS u FROM conversations)
+SELECT conv_id, turn, CASE WHEN u IN ('A','B','C','D') THEN u WHEN {ALONE} <> '' THEN {ALONE} ELSE '{T.NO_ANSWER}' END AS letter,
+CASE WHEN u IN ('A','B','C','D') THEN 1.0::DOUBLE WHEN {ALONE} <> '' THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM x""")
+def extract_answer(spark, sf):
+    a = table(spark, sf, "conversations").select("conv_id", "turn", T.answer_letter(F.col("text")).alias("a"))
+    return a.select("conv_id", "turn", "a.letter", "a.confidence")
+
+
+def _first_alone(letter: str) -> str:
+    return rf"regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_]){letter}($|[^\p{{L}}\p{{N}}_])')"
+
+
+@query(f"SELECT conv_id, turn, CASE {' '.join(f'''WHEN {_first_alone(x)} THEN '{x}' ''' for x in 'ABCD')} END AS letter FROM conversations")
+def extract_answer_regex(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.answer_option(F.col("text"))["letter"].alias("letter"))
+
+
+@query("SELECT item_id, substr(text, 1, 40) AS context, substr(text, 41) AS statement FROM (SELECT item_id, regexp_replace(text, '\\s+', '_', 'g') AS text FROM benchmark)")
+def tf_statement(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", "_").alias("t"))
+    made = F.concat(F.lit('Đọc đoạn tư liệu sau đây: "'), F.substring("t", 1, 40), F.lit('" Phát biểu sau: "'), F.expr("substring(t, 41)"), F.lit('"'))
+    s = b.select("item_id", T.statement(made).alias("s"))
+    return s.select("item_id", "s.context", "s.statement")
+
+
+GRADED = """g AS (SELECT l.doc_id AS id, CASE WHEN l.doc_id % 2 = 0 THEN 'multiple_choice' ELSE 'true_false' END AS q_type,
+  CASE WHEN d.n_chars % 7 = 0 THEN '[NO PREDICTION]' WHEN d.n_chars > 800 THEN 'A' ELSE 'B' END AS predicted, CASE WHEN l.quality = 1 THEN 'A' ELSE 'B' END AS correct
+  FROM labels l JOIN documents d USING (doc_id)),
+r AS (SELECT *, predicted = correct AS is_correct, CASE WHEN predicted = correct THEN 'correct' WHEN predicted = '[NO PREDICTION]' THEN 'no-answer' ELSE 'wrong' END AS status FROM g)"""
+
+
+@query(f"WITH {GRADED} SELECT * FROM r")
+def eval_results(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    rows = table(spark, sf, "labels").join(d, "doc_id").select(
+        F.col("doc_id").alias("id"),
+        F.when(F.col("doc_id") % 2 == 0, "multiple_choice").otherwise("true_false").alias("q_type"),
+        F.when(F.col("n_chars") % 7 == 0, F.lit("")).when(F.col("n_chars") > 800, "A").otherwise("B").alias("predicted"),
+        F.when(F.col("quality") == 1, "A").otherwise("B").alias("correct"),
+    )
+    return evaluate.graded(rows)
+
+
+@query(f"""WITH {GRADED} SELECT coalesce(q_type, 'overall') AS q_type, count(*) AS total, CAST(sum(is_correct::INT) AS BIGINT) AS correct, CAST(sum((status = 'wrong')::INT) AS BIGINT) AS wrong,
+CAST(sum((status = 'no-answer')::INT) AS BIGINT) AS no_prediction, round(sum(is_correct::INT) / count(*) * 100, 6) AS accuracy, round((count(*) - sum((status = 'no-answer')::INT)) / count(*) * 100, 6) AS prediction_rate FROM r GROUP BY ROLLUP (q_type)""")
+def eval_stats(spark, sf):
+    return evaluate.statistics(eval_results(spark, sf))
+
+
+@query(f"""WITH {GRADED} SELECT q_type, id, CAST(row_number() OVER w AS INT) AS n, round(avg(is_correct::INT) OVER (PARTITION BY q_type ORDER BY id ROWS UNBOUNDED PRECEDING) * 100, 6) AS accuracy
+FROM r WINDOW w AS (PARTITION BY q_type ORDER BY id) QUALIFY n % 5 = 0""")
+def running_accuracy(spark, sf):
+    return evaluate.running_accuracy(eval_results(spark, sf))
+
+
+@query(f"""WITH {GRADED} SELECT id, q_type, '<div class="card ' || status || '"><b>#' || id || '</b> ' || predicted || ' / ' || correct || '</div>' AS card FROM r""")
+def report_cards(spark, sf):
+    return evaluate.cards(eval_results(spark, sf))
+
+
+SANE = r"regexp_replace(regexp_replace(x, '[^\p{L}\p{N}_\s-]', '', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {SANE} AS id FROM (SELECT page_id, url AS x FROM pages)")
+def sanitize_ids(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.sanitized(F.col("url")).alias("id"))
+
+
+@query(rf"SELECT p_partkey, coalesce(nullif(upper(regexp_replace({SANE}, '[\s-]+', '_', 'g')), ''), 'RELATED_TO') AS rel_type FROM (SELECT p_partkey, p_type AS x FROM part)")
+def rel_types(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.relation_type(F.col("p_type")).alias("rel_type"))
+
+
+@query("SELECT event_id, 'a_b=' || event_type || ',k=' || CAST(json_extract_string(props, '$.k') AS VARCHAR) AS properties FROM events")
+def flatten_props(spark, sf):
+    e = table(spark, sf, "events")
+    m = F.map_concat(F.create_map(F.lit("a b"), F.lit("first"), F.lit("a-b"), F.col("event_type"), F.lit("!?"), F.lit("gone")), F.from_json("props", "map<string,string>"))
+    flat = F.array_sort(F.transform(F.map_entries(graph.node_properties(m)), lambda p: F.concat(p["key"], F.lit("="), p["value"])))
+    return e.select("event_id", F.array_join(flat, ",").alias("properties"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_repair(spark, sf):
+    e = table(spark, sf, "events")
+    broken = F.concat(F.lit("Here it is:\n```json\n{\"a\": "), F.expr("substring(props, 1, length(props) - 1)"), F.lit(",},\n}\n```"))
+    return e.select("event_id", F.get_json_object(T.repaired_json(T.json_span(broken)), "$.a.k").cast("long").alias("k"))
+
+
+@query("SELECT doc_id, 'e' || doc_id AS id, source AS description, true AS ok FROM documents")
+def parse_responses(spark, sf):
+    d = table(spark, sf, "documents")
+    one = F.concat(F.lit('{"id": "e'), F.col("doc_id").cast("string"), F.lit('", "type": "T", "description": "'), "source", F.lit('"}, {"id": "", "type": "T", "description": "x"}'))
+    response = F.concat(F.lit('```json\n{"entities": ['), one, F.lit("], \"triplets\": [],}\n```"))
+    p = ingest.parsed(d.select(F.col("doc_id").alias("id"), response.alias("response")))
+    return p.select(F.col("id").alias("doc_id"), F.col("entities")[0]["id"].alias("id"), F.col("entities")[0]["description"].alias("description"), "ok")
+
+
+@query(r"SELECT doc_id, regexp_replace(substr(regexp_replace(text, '\s+', '_', 'g'), 1, 30), '^\s+|\s+$', '', 'g') AS option FROM documents")
+def clean_options(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.substring(F.regexp_replace("text", r"\s+", "_"), 1, 30).alias("t"))
+    mark = F.element_at(F.array(*[F.lit(m) for m in ("(A) ", "b. ", "C) ", "D: ", "A - ")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return d.select("doc_id", T.option_text(F.concat(mark, "t")).alias("option"))
+
+
+@query("SELECT o_orderkey, o_orderpriority LIKE '1%' AS truth FROM orders")
+def truth_tokens(spark, sf):
+    token = F.when(F.col("o_orderpriority").startswith("1"), F.element_at(F.array(F.lit(" yes"), F.lit("Đ"), F.lit("true"), F.lit("Tx")), (F.col("o_orderkey") % 4 + 1).cast("int"))).otherwise(F.col("o_orderstatus"))
+    return table(spark, sf, "orders").select("o_orderkey", T.truth(token).alias("truth"))
+
+
+@query("SELECT o_orderkey, array_to_string((['T','F','T','F','F'])[1:CAST(o_orderkey % 5 + 1 AS INT)], '') AS v FROM orders")
+def answer_vector(spark, sf):
+    given = F.element_at(F.array(F.lit("T,F, T"), F.lit("t f t"), F.lit("TFT")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(T.answer_vector(given, (F.col("o_orderkey") % 5 + 1).cast("int")), "").alias("v"))
+
+
+@query("""SELECT doc_id AS id, array_to_string(list_transform(range(1, CAST(2 + doc_id % 4 AS INT) + 1), lambda k: 'o' || k || '=' || CASE WHEN k = 2 THEN 'true' ELSE 'false' END), ',') AS options FROM documents WHERE 2 + doc_id % 4 BETWEEN 3 AND 4""")
+def mc_filter(spark, sf):
+    n = (F.col("doc_id") % 4 + 2).cast("int")
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 50).alias("question"), F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.char(k + 64), F.lit(". o"), k.cast("string"))).alias("options"), F.lit("b").alias("correct"))
+    pairs = F.transform("options", lambda o: F.concat(o["answer"], F.lit("="), o["isCorrect"].cast("string")))
+    return ingest.multiple_choice(items).select("id", F.array_join(pairs, ",").alias("options"))
+
+
+@query("""SELECT item_id AS id, CAST(k AS INT) AS k, 'Phát biểu sau: s' || k AS question, k % 2 = 0 AS is_true FROM benchmark, range(0, 4) t(k)""")
+def tf_explode(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("main"), F.array(*[F.lit(f" s{k}") for k in range(4)]).alias("subs"), F.lit("T,F,T").alias("corrects"))
+    return ingest.true_false(b)
+
+
+@query(f"""WITH {ENTITIES}, {TRIPLETS}, d AS (SELECT subject_id, predicate, object_id, min(seq) AS seq FROM t GROUP BY ALL)
+SELECT ':' || replace(id, ' ', '_') || ' a :' || type || ' ;' AS value FROM e UNION ALL SELECT '    :label "' || id || '" ;' FROM e UNION ALL SELECT '    :description "' || description || '" .' FROM e
+UNION ALL SELECT ':' || replace(subject_id, ' ', '_') || ' :' || replace(predicate, ' ', '_') || ' :' || replace(object_id, ' ', '_') || ' .' FROM d""")
+def ttl_lines(spark, sf):
+    g = star.graph(spark, sf)
+    return graph.turtle_lines(graph.KnowledgeGraph(g.entities, graph.dedup_triplets(g.triplets))).select("value")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
