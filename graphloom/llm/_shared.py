@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = Path(__file__).resolve().parents[2]
+from graphloom.shipping import ship  # noqa: F401
+
 #: Prefix of every helper column, so that columns of the caller never clash with ours.
 OWN = "__gl_"
 
@@ -45,19 +43,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver alone can (no PYTHONPATH that names it)."""
-    places = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    if ROOT in places or Path.cwd() == ROOT or getattr(spark.sparkContext, "_graphloom_shipped", False):
-        return
-    out = Path(tempfile.mkdtemp(prefix="graphloom-code-")) / "graphloom_code.zip"  # served by the driver to all executors
-    with zipfile.ZipFile(out, "w") as z:
-        for p in (ROOT / "graphloom").rglob("*.py"):
-            z.write(p, p.relative_to(ROOT))
-    spark.sparkContext.addPyFile(str(out))
-    spark.sparkContext._graphloom_shipped = True
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece has about most_bytes of text (one longer text is a piece of its own)."""
     for batch in batches:
