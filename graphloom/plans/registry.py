@@ -207,8 +207,8 @@ def vector_topk(spark, sf):
 
 
 @query(f"""WITH {NEAR}, both_ AS (SELECT q_id, id, 0 AS source, rank FROM near WHERE rank <= 3 UNION ALL SELECT q_id, id % 500 AS id, 1, rank FROM near WHERE rank <= 2),
-first AS (SELECT q_id, id, min(source * 10 + rank) AS at FROM both_ GROUP BY ALL)
-SELECT q_id, id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY at) AS INT) AS rank FROM first QUALIFY rank <= 3""")
+first AS (SELECT q_id, id, min(source * 10 + rank) AS place FROM both_ GROUP BY ALL)
+SELECT q_id, id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY place) AS INT) AS rank FROM first QUALIFY rank <= 3""")
 def hybrid_context(spark, sf):
     near = retrieve.vector_topk(*vectors(spark, sf))
     both = near.where("rank <= 3").select("q_id", "id", F.col("rank").alias("at")).union(near.where("rank <= 2").select("q_id", F.col("id") % 500, F.col("rank") + 10))
