@@ -1,0 +1,81 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as T
+
+
+def one(spark, values, f):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, x string")
+    return [r["y"] for r in df.select("k", f(F.col("x")).alias("y")).orderBy("k").collect()]
+
+
+def pack(text, most):
+    """The packing rule in plain Python, unit by unit."""
+    import re
+
+    units = []
+    for p in (q.strip() for q in text.split("\n\n")):
+        if len(p) > most:
+            units += [(s.strip(), ". ") for s in re.split("[.!?;]+", p) if s.strip()]
+        elif p:
+            units.append((p, "\n\n"))
+    out, cur = [], ""
+    for u, tail in units:
+        if len(cur) + len(u) + 2 > most:
+            out += [cur.strip()] if cur else []
+            cur = ""
+        cur += u + tail
+    return out + ([cur.strip()] if cur.strip() else [])
+
+
+def test_chunks(spark):
+    texts = ["", "  \n\n ", "a. b! c; d", "one\n\ntwo\n\n" + "x" * 30 + ". tail. more", "w" * 50, "aa. bb. cc. dd. ee. ff. gg\n\nshort", None]
+    got = one(spark, texts, lambda x: T.chunks(x, 12))
+    assert got == [pack(t, 12) if t is not None else None for t in texts]
+
+
+def test_chunks_of_random_texts(spark):
+    found = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from(["word", " ", ". ", "\n\n", "!?", ";", "long" * 6]), max_size=30))
+    def gather(parts):
+        found.append("".join(parts))
+
+    gather()
+    assert one(spark, found, lambda x: T.chunks(x, 20)) == [pack(t, 20) for t in found]
+
+
+def test_answers(spark):
+    said = ["A", " b ", "Đáp án: C", "chọn D", "đúng", "incorrect", "sai", "", "because"]
+    letters = [r["letter"] for r in one(spark, said, lambda x: T.answer_letter(x, True))]
+    assert letters == ["A", "B", "C", "D", "A", "A", "B", T.NO_ANSWER, T.NO_ANSWER]
+    assert [r["letter"] for r in one(spark, ["đáp án : d", "Đáp án: D", "so b or a", "none"], lambda x: T.answer_option(x, 3))] == [None, None, "A", None]
+
+
+def test_statement(spark):
+    got = one(spark, ['Đọc đoạn tư liệu sau đây: "ctx" Phát biểu sau: "X" là đúng hay sai', "no mark", "a Phát biểu sau: b Phát biểu sau: c", 'c Phát biểu sau: "y"'], T.statement)
+    assert [tuple(r) for r in got] == [("ctx", 'X"'), ("", "no mark"), ("", "a Phát biểu sau: b Phát biểu sau: c"), ("c", "y")]
+
+
+def test_names(spark):
+    assert one(spark, ["a`b/c", " x-y z ", "!!", None, "việt nam"], T.sanitized) == ["abc", "x-y z", "", "", "việt nam"]
+    assert one(spark, ["thuộc về", "in - of", "!!", None], T.relation_type) == ["THUỘC_VỀ", "IN_OF", "RELATED_TO", "RELATED_TO"]
+
+
+@pytest.mark.parametrize(("given", "n", "want"), [("T,F,T", 4, "TFTF"), ("t f", 1, "T"), ("TTFF", 3, "TTF"), ("", 2, "FF"), (None, 1, "F")])
+def test_answer_vector(spark, given, n, want):
+    assert "".join(one(spark, [given], lambda x: T.answer_vector(x, F.lit(n)))[0]) == want
+
+
+def test_options_and_truth(spark):
+    assert one(spark, ["(A) x", "A. x", "b) x", "C: x", "Học x", "  ", None], T.option_text) == ["x", "x", "x", "x", "Học x", "", ""]
+    assert one(spark, ["Đ", "d", "S", "True", "tt", "0", None], T.truth) == [True, True, False, True, True, False, False]
+    assert one(spark, ["a (theo Sách giáo khoa) b", "(x) (sach giao khoa"], T.without_textbook) == ["a  b", "(x) (sach giao khoa"]
+
+
+def test_json_repair(spark):
+    assert one(spark, ['{"a": [1, 2,], }', '{"a": {"b": 1', "x"], T.repaired_json) == ['{"a": [1, 2]}', '{"a": {"b": 1}}', "x"]
+    assert one(spark, ['```json\n{"a": 1}\n``` done', "none"], T.json_span) == ['{"a": 1}', ""]
