@@ -5,8 +5,8 @@ Each bit has a logistic classifier over the shares of hashed byte bigrams and tr
 a text's margin is a mean of table entries, one look-up a position, over the whole text.
 
 Fit, on a bounded sample: at most PER_LANGUAGE documents of each `lang`, the least by a seeded hash of doc_id; three quarters train, the rest
-calibrates: a bit weighs the log-odds of its held-out accuracy, and GAP is the least difference of losses beyond which held-out decisions are right
-at a rate of PRECISION. Decoding is loss-weighted: the codeword with the least weighted logistic loss of the margins is nearest. A text
+calibrates: a bit weighs the log-odds of its held-out accuracy, and GAP is the largest difference of losses (LEAST_GAP at least) below which
+held-out decisions are right at a rate of no more than DOUBTFUL. Decoding is loss-weighted: the codeword with the least weighted logistic loss of the margins is nearest. A text
 is ambiguous where the second nearest is closer than GAP.
 
 Defined results: null and empty texts, and texts of fewer than 3 bytes, have no language and are ambiguous; a null doc_id stays; repeated rows are scored each; null `lang`
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _shared as S
 
-PER_LANGUAGE, LEAST, SEED, TRIES, PRECISION, STEPS, RATE, DECAY = 700, 5, 29, 200, 0.995, 150, 0.05, 1e-4
+PER_LANGUAGE, LEAST, SEED, TRIES, DOUBTFUL, LEAST_GAP, STEPS, RATE, DECAY = 700, 5, 29, 200, 0.9, 0.25, 150, 0.05, 1e-4
 WIDTH = 4096  # buckets of bigrams, and as many of trigrams
 
 
@@ -132,13 +132,10 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = SEED)
     right = np.clip(right, 0.5, 1 - 0.5 / len(test))
     decoder.trust = np.maximum(np.log(right / (1 - right)), 0.05)
     got, _, gap = decoder.decide(margin)
-    good = (got == y[test])[np.argsort(-gap, kind="stable")]
-    rate = np.cumsum(good) / np.arange(1, len(good) + 1)
-    enough = np.flatnonzero(rate >= PRECISION)
-    ordered = np.sort(gap)[::-1]
-    last = int(enough[-1]) if len(enough) else -1
-    if last < len(ordered) - 1:  # all decisions together aren't right often enough
-        decoder.gap = float(ordered[last + 1]) + 1e-9 if last >= 0 else np.inf
+    order = np.argsort(gap, kind="stable")
+    rate = np.cumsum((got == y[test])[order]) / np.arange(1, len(order) + 1)
+    low = np.flatnonzero(rate <= DOUBTFUL)
+    decoder.gap = max(LEAST_GAP, float(gap[order[low[-1]]]) + 1e-9 if len(low) else 0.0)
     return decoder
 
 
