@@ -93,7 +93,7 @@ def chunk_stats(spark, sf):
     return chunk_documents(spark, sf).agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("text")).alias("longest"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(r"""SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1 AND w NOT IN ('là','gì','của','trong','vào','từ','đến','với','và','hoặc','các','những'))[1:5], ' ') AS keywords FROM benchmark""")
+@query(r"""SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1 AND NOT list_contains(string_split('các của gì hoặc là những trong từ và vào với đến', ' '), w))[1:5], ' ') AS keywords FROM benchmark""")
 def keywords(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", T.keywords(F.col("text")).alias("keywords"))
 
