@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _shared as S
 
-PER_LANGUAGE, LEAST, SEED, TRIES, DOUBTFUL, LEAST_GAP, STEPS, RATE, DECAY = 700, 5, 29, 200, 0.6, 0.25, 150, 0.05, 1e-4
+PER_LANGUAGE, LEAST, SEED, TRIES, DOUBTFUL, LEAST_GAP, STEPS, RATE, DECAY = 700, 5, 29, 200, 0.75, 0.25, 150, 0.05, 1e-4
 WIDTH = 4096  # buckets of bigrams, and as many of trigrams
 
 
