@@ -1,4 +1,4 @@
-"""Retrieval: lexical scores by contained words, exact vector top-k."""
+"""Retrieval: lexical scores by contained words, exact vector top-k, two searches merged."""
 
 from __future__ import annotations
 
@@ -89,25 +89,64 @@ def expanded(questions: DataFrame, labels: DataFrame) -> DataFrame:
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(q_id, id, score, rank) by inner product of unit vectors, exact. queries: q_id, v; vectors: id, v. Each task keeps its k best."""
-    ship(vectors.sparkSession)
-    asked = queries.orderBy("q_id").collect()
-    qid, q = np.array([r["q_id"] for r in asked], np.int64), np.array([r["v"] for r in asked], float).reshape(len(asked), -1)
-    q = _unit(q)
+    spark = vectors.sparkSession
+    ship(spark)
+    asked = queries.select(F.col("q_id").cast("long").alias("q_id"), "v").orderBy("q_id").toArrow()
+    qid, q = asked.column("q_id").to_numpy(), _unit(_matrix(asked.column("v").combine_chunks()))
+    low = vectors.select(F.col("id").cast("long"), "v")
+    parts = [low.mapInArrow(_nearest(qid[a : a + TOGETHER], q[a : a + TOGETHER], k), "q_id long, id long, score double") for a in range(0, len(qid), TOGETHER)]
+    if not parts:
+        return spark.createDataFrame([], "q_id long, id long, score double, rank int")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    by = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def _nearest(qid: np.ndarray, q: np.ndarray, k: int, rows: int = 512, columns: int = 4096):
+    """The k nearest of a task's vectors for each query, in blocks of rows x columns scores, so memory doesn't grow with the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_id, kept = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+        cuts = [slice(a, a + rows) for a in range(0, len(qid), rows)]
+        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(cuts)
+        floor = np.full(len(qid), -np.inf)
         for b in batches:
-            if b.num_rows:
-                score = np.round(q @ _unit(np.array(b.column(1).to_pylist(), float)).T, 6)
-                kept = np.concatenate([kept, score], 1)
-                kept_id = np.concatenate([kept_id, np.tile(b.column(0).to_numpy(), (len(qid), 1))], 1)
-                order = np.lexsort((kept_id, -kept), axis=1)[:, :k]
-                kept, kept_id = np.take_along_axis(kept, order, 1), np.take_along_axis(kept_id, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, kept.shape[1])), pa.array(kept_id.ravel()), pa.array(kept.ravel())], names=["q_id", "id", "score"])
-
-    found = vectors.select(F.col("id").cast("long"), "v").mapInArrow(run, "q_id long, id long, score double")
-    by = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+            ids, x = b.column(0).to_numpy(), _unit(_matrix(b.column(1)))
+            for at in range(0, len(ids), columns):
+                some, turned = ids[at : at + columns], x[at : at + columns].T
+                for n, c in enumerate(cuts):
+                    score = np.round(q[c] @ turned, 6)
+                    least = floor[c]
+                    if not np.isfinite(least).all() and score.shape[1] > k:
+                        least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+                    r, j = np.nonzero(score >= least[:, None])
+                    if len(r):
+                        r, i, v = (np.concatenate(pair) for pair in zip(kept[n], (r, some[j], score[r, j]), strict=True))
+                        order = np.lexsort((i, -v, r))
+                        r, i, v = r[order], i[order], v[order]
+                        place = np.arange(len(r)) - np.searchsorted(r, r)
+                        floor[c][r[place == k - 1]] = v[place == k - 1]
+                        kept[n] = r[place < k], i[place < k], v[place < k]
+        for c, (r, i, v) in zip(cuts, kept, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(qid[c][r]), pa.array(i), pa.array(v)], names=["q_id", "id", "score"])
+
+    return run
+
+
+def merged(first: DataFrame, second: DataFrame, contents: DataFrame, most: int = 3) -> DataFrame:
+    """(q_id, id, rank): the hits of the first search, then those of the second, of equal contents the one that comes first; at most `most` a question.
+
+    first, second: q_id, id, rank; contents: id, content.
+    """
+    both = first.select("q_id", "id", F.lit(0).alias("source"), "rank").union(second.select("q_id", "id", F.lit(1), "rank"))
+    once = both.join(contents, "id").groupBy("q_id", "content").agg(F.min(F.struct("source", "rank", "id")).alias("at"))
+    return once.select("q_id", "at.id", F.row_number().over(Window.partitionBy("q_id").orderBy("at")).alias("rank")).where(F.col("rank") <= most)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return np.asarray(lists.flatten(), float).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -216,6 +216,35 @@ def hybrid_context(spark, sf):
     return first.select("q_id", "id", F.row_number().over(Window.partitionBy("q_id").orderBy("at")).alias("rank")).where("rank <= 3")
 
 
+EVERY = NEAR.replace(" WHERE vec_id < 20", "")
+#: Components of a vector that stand for the key words of its question in the second search.
+KEY = 8
+
+
+def every_vector(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query(f"WITH {EVERY} SELECT * FROM near")
+def vector_topk_whole(spark, sf):
+    return retrieve.vector_topk(*every_vector(spark, sf))
+
+
+@query(f"""WITH {EVERY},
+q2 AS (SELECT q_id, list_transform(v, lambda x: CASE WHEN abs(x) >= list_reverse_sort(list_transform(v, lambda y: abs(y)))[{KEY}] THEN x ELSE 0 END) AS v FROM q),
+s2 AS (SELECT q_id, id, round(list_cosine_similarity(q2.v, a.v), 6) AS score FROM q2, a),
+near2 AS (SELECT q_id, id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS INT) AS rank FROM s2 QUALIFY rank <= 2),
+both_ AS (SELECT q_id, id, rank FROM near WHERE rank <= 3 UNION ALL SELECT q_id, id, 10 + rank FROM near2),
+first AS (SELECT q_id, v, arg_min(id, rank) AS id, min(rank) AS place FROM both_ JOIN a USING (id) GROUP BY q_id, v)
+SELECT q_id, id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY place) AS INT) AS rank FROM first QUALIFY rank <= 3""")
+def hybrid_context_whole(spark, sf):
+    q, v = every_vector(spark, sf)
+    least = F.element_at(F.sort_array(F.transform("v", F.abs), asc=False), KEY)
+    key = q.select("q_id", F.transform("v", lambda x: F.when(F.abs(x) >= least, x).otherwise(F.lit(0).cast("float"))).alias("v"))
+    return retrieve.merged(retrieve.vector_topk(q, v, 3), retrieve.vector_topk(key, v, 2), v.withColumnRenamed("v", "content"))
+
+
 def with_options(spark, sf):
     part = lambda k: F.substring("text", 1 + 60 * k, 60)
     return table(spark, sf, "documents").select("doc_id", F.array(*[part(k) for k in range(4)]).alias("options"), F.substring("text", 200, 400).alias("context"))
