@@ -3,7 +3,7 @@
 Kinds: EMAIL, PHONE, CARD (Luhn), IBAN (country length and mod-97), IPV4 (octets), SSN (number ranges), SECRET (assigned to a key word,
 or with a known prefix; Shannon entropy). A proposal that its validator rejects is dropped. The score is the kind's base, plus
 UP where a supporting word stands within NEAR characters before or AFTER behind, minus DOWN where a contrary one does; spans of at
-least THRESHOLD stay. Of overlapping spans the one with the highest score stays, then the longest, then the first.
+least THRESHOLD stay. For cards every stretch of a run of digits that begins and ends with a group is tried, as dates, codes and numbers may stand beside one. Of overlapping spans the one with the highest score stays, then the longest, then the first.
 
 Every kind needs a digit or an @, so a text without either is passed over by one cheap search; all other texts are searched whole.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,12 +31,13 @@ ANY = re.compile(r"[0-9@]")
 AT = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 LOCAL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}\Z")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w.])\+\d{8,15}(?!\w)")
-CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")
+DIGITS = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,}(?!\w)")
+GROUP = re.compile(r"\d+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IPV4 = re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 SECRET = re.compile(
-    r"""(?:token|secret|api[_ -]?key|access[_ -]?key|passw(?:or)?d|bearer)["']?\s{0,3}[:=]?\s{0,3}["']?([A-Za-z0-9+/_\-]{16,512})|(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])""",
+    r"""(?:token|secret|api[_ -]?key|access[_ -]?key|passw(?:or)?d|bearer)["']?\s{0,3}[:=]?\s{0,3}["']?([A-Za-z0-9+/_\-]{16,})|(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])""",
     re.I,
 )
 
@@ -94,6 +96,26 @@ def _ascii_digits(s: str) -> str:
     return "".join(c for c in s if c in "0123456789")
 
 
+def cards(run: str) -> Iterator[tuple[int, int]]:
+    """Stretches of 13 to 19 digits of a run, from the begin of a group of digits to the end of one, that pass Luhn."""
+    digits = _ascii_digits(run)
+    sums = [[0], [0]]  # of the digits so far, with those at even or at odd places doubled
+    for k, c in enumerate(digits):
+        twice = 2 * int(c) - 9 * (c > "4")
+        sums[k % 2].append(sums[k % 2][-1] + twice)
+        sums[1 - k % 2].append(sums[1 - k % 2][-1] + int(c))
+    ends, n = [], 0
+    for g in GROUP.finditer(run):
+        first, n = n, n + len(_ascii_digits(g.group()))
+        ends.append((g.start(), g.end(), first, n))
+    for k, (start, _, first, _) in enumerate(ends):
+        for _, end, _, last in ends[k : k + 19]:
+            if last - first > 19:
+                break
+            if last - first >= 13 and (sums[last % 2][last] - sums[last % 2][first]) % 10 == 0 and len(set(digits[first:last])) > 1:
+                yield start, end
+
+
 def proposals(text: str) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, kind, base score) of the spans that their validators confirm."""
     if "@" in text:
@@ -102,10 +124,9 @@ def proposals(text: str) -> Iterator[tuple[int, int, str, float]]:
                 name = left.group().lstrip(".")
                 if name and ".." not in name and not name.endswith("."):
                     yield m.start() - len(name), m.end(), "EMAIL", BASE["EMAIL"]
-    for m in CARD.finditer(text):
-        digits = _ascii_digits(m.group())
-        if 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits):
-            yield m.start(), m.end(), "CARD", BASE["CARD"]
+    for m in DIGITS.finditer(text):
+        for start, end in cards(m.group()):
+            yield m.start() + start, m.start() + end, "CARD", BASE["CARD"]
     for m in PHONE.finditer(text):
         v, n = m.group(), len(_ascii_digits(m.group()))
         if 7 <= n <= 15:
@@ -153,9 +174,10 @@ def spans(text: str | None) -> list[tuple[int, int, str, float]]:
         if chain and s[0] >= reach:
             kept: list[tuple[int, int, str, float]] = []
             for c in sorted(chain, key=lambda c: (-c[3], c[0] - c[1], c[0], c[2])):
-                if all(c[1] <= k[0] or c[0] >= k[1] for k in kept):
-                    kept.append(c)
-            out += sorted(kept)
+                at = bisect_left(kept, c)  # those that stay don't overlap, so only its neighbours can be in the way
+                if (at == 0 or kept[at - 1][1] <= c[0]) and (at == len(kept) or c[1] <= kept[at][0]):
+                    kept.insert(at, c)
+            out += kept
             chain = []
         chain.append(s)
         reach = s[1] if len(chain) == 1 else max(reach, s[1])

@@ -24,6 +24,34 @@ def test_spans():
     assert kinds("ssn 123-45-6789") == [("SSN", "123-45-6789")] and kinds("ssn 000-45-6789") == []
 
 
+def test_cards_beside_other_numbers():
+    card = "4111 1111 1111 1111"
+    for text in (f"card {card} 12/27", f"card {card} 123", f"card 43 {card}", f"visa 7 {card} 9 8", f"card {card} {card[:14]} 12"):
+        assert ("CARD", card) in kinds(text), text
+    assert ("CARD", "4111-1111-1111-1111") in kinds("2024 4111-1111-1111-1111")
+    assert [k for k, _ in kinds("cards 4111 1111 1111 1111 5555 5555 5555 4444")] == ["CARD"] * 2
+    assert O.redacted(f"card 42 {card}") == "card [CARD]"  # the number before it happens to pass too: the longer stretch goes
+    assert kinds("card " + "4111111111111111" * 2) == []
+
+
+def test_many_numbers_are_settled_quickly():
+    got = O.spans("1 2 3 4 5 6 7 8 9 0 " * 20000)
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def test_stretches_equal_a_loop():
+    run = "7 41 5555-1 444 12 0 3 9 88 4111 1111 1111 1111 123 6 2 5 8"
+    groups = list(O.GROUP.finditer(run))
+    want = [(a.start(), b.end()) for k, a in enumerate(groups) for b in groups[k:] if 13 <= len(d := O._ascii_digits(run[a.start() : b.end()])) <= 19 and O.luhn(d)]
+    assert list(O.cards(run)) == want and (run.index("4111"), run.index(" 123")) in want
+
+
+def test_secrets_to_their_end():
+    value = "aB3dE5gH7jK9" * 100
+    assert kinds(f"token = {value} end") == [("SECRET", value)] and kinds(f"key sk-{value}.") == [("SECRET", f"sk-{value}")]
+    assert O.redacted(f"token = {value} end") == "token = [SECRET] end"
+
+
 def test_context_moves_the_score():
     assert kinds("call 555 123 4567") == [("PHONE", "555 123 4567")]
     assert kinds("we sold 555 123 4567") == [] and kinds("order 555 123 4567") == []
