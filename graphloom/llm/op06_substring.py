@@ -191,10 +191,12 @@ def subtrees(key: np.ndarray, right: np.ndarray, left: np.ndarray, nr: np.ndarra
         r = rows[deep]
         out_left[r] = np.maximum(out_left[r], best[deep])
         out_right[r] = np.maximum(out_right[r], d)
+        along = np.cumsum(with_last < side - d)  # those that share the words to the left too
+        leaves[r] = np.maximum(leaves[r], np.bincount(along)[along][deep])
         total = best[deep] + d
         more = total > longest[r]
         other = np.where(with_last >= with_next, np.concatenate([[0], rows[:-1]]), np.append(rows[1:], 0))[deep]
-        longest[r[more]], leaves[r[more]], partner[r[more]] = total[more], size[of[deep][more]], other[more]
+        longest[r[more]], partner[r[more]] = total[more], other[more]
     return out_left, out_right, leaves, partner
 
 
@@ -225,10 +227,10 @@ def _trees(least: int, prefix: int, together: int = 50_000):
         if twice.any():
             other = np.where(last, np.append(0, ids[:-1]), np.append(ids[1:], 0))[twice]
             pos = both.column(3).to_numpy()[twice]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[twice]), both.column(2).filter(pa.array(twice)), pa.array(pos), pa.array((pos + least).astype(np.int32)), pa.array(np.full(len(pos), 2)), pa.array(other)], names=["id", "th", "lo", "hi", "leaves", "partner"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[twice]), both.column(2).filter(pa.array(twice)), pa.array(pos), pa.array((pos + least).astype(np.int32)), both.column(7).filter(pa.array(twice)), pa.array(other)], names=["id", "th", "lo", "hi", "leaves", "partner"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by key: whole groups are gathered until there are enough; a group that may go on in the next batch waits for it."""
+        """Rows come ordered by key, as the window that counts the rows of a key leaves them: whole groups are gathered until there are enough; a group that may go on in the next batch waits for it."""
         rest: list[pa.RecordBatch] = []
         held: pa.RecordBatch | None = None
         for b in batches:
@@ -258,7 +260,7 @@ def _trees(least: int, prefix: int, together: int = 50_000):
 
 def repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, memory: int = MEMORY) -> DataFrame:
     """One row for each repeated passage of a document: doc_id, start_word, end_word (words from 0, end exclusive), n_words, leaves (most suffixes
-    that share a node of it, or whole copies of the text), partner (a doc_id that has the same words; the text's own where it repeats itself)."""
+    that share a deep node of it: the most places, equal texts once, that one of its runs of `least` words has; or whole copies of the text), partner (a doc_id that has the same words; the text's own where it repeats itself)."""
     S.ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias(f"{S.OWN}text")).where(f"{S.OWN}text is not null and id is not null")
     suffixes = own.mapInArrow(_first(least, prefix), "h long, id long, th long, pos int").repartition("h")
@@ -267,7 +269,7 @@ def repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, memory: i
     places = counted.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "h", (F.col("n") > memory).alias("hot"))).alias("places"))
     texts = own.dropDuplicates(["id", "th"]) if _repeated_ids(own) else own
     around = texts.join(places.hint("shuffle_hash"), ["id", "th"]).select("id", "th", f"{S.OWN}text", "places").mapInArrow(_around(least, prefix), "h long, id long, th long, pos int, nl int, nr int, words binary")
-    spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(_trees(least, prefix), SPANS)
+    spans = around.repartition("h").withColumn("n", F.count_if(F.isnull("words")).over(Window.partitionBy("h"))).mapInArrow(_trees(least, prefix), SPANS)
     by = Window.partitionBy("id", "th").orderBy("lo", "hi")
     broken = spans.withColumn("begins", F.when(F.col("lo") <= F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("island", F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     merged = broken.groupBy("id", "th", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("leaves").alias("leaves"), F.coalesce(F.min(F.when(F.col("partner") != F.col("id"), F.col("partner"))), F.min("partner")).alias("partner"))

@@ -58,6 +58,30 @@ def test_equals_brute_force(spark, seed, least, prefix, memory):
     assert len(got) == len({(r["doc_id"], r["start_word"]) for r in got})
 
 
+@pytest.mark.parametrize(("least", "prefix"), [(12, 5), (20, 8)])
+def test_leaves_are_counted_at_any_memory(spark, least, prefix):
+    texts = corpus(9) + [f"a{k} " + " ".join(f"w{j}" for j in range(30)) + f" z{k}" for k in range(9)]
+    own = list(dict.fromkeys(texts))
+    count = {}
+    for t in own:
+        w = t.split()
+        for k in range(len(w) - least + 1):
+            count[tuple(w[k : k + least])] = count.get(tuple(w[k : k + least]), 0) + 1
+    for memory in (10**6, 2, 5):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if memory == 2 else 10000)
+        try:
+            got = O.repeats(docs_of(spark, texts), least, prefix, memory).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert max(r["leaves"] for r in got) >= 9
+        for r in got:
+            w = texts[r["doc_id"]].split()
+            want = texts.count(texts[r["doc_id"]])
+            if want == 1:
+                want = max(count[tuple(w[k : k + least])] for k in range(r["start_word"], r["end_word"] - least + 1))
+            assert r["leaves"] == want, (memory, r)
+
+
 def test_partners_share_the_words(spark):
     texts = corpus(7)
     for r in O.repeats(docs_of(spark, texts), 12, 5).collect():
