@@ -169,6 +169,30 @@ def relation_chunk_text(spark, sf):
     return graph.relation_texts(graph.dedup_triplets(star.triplets(spark, sf)), graph.entity_index(some_entities(spark, sf)))
 
 
+ALL = "e2 AS (SELECT * FROM e)"
+
+
+@query(SQL["edges_resolved"].replace(PARTIAL, ALL))
+def edges_resolved_whole(spark, sf):
+    return graph.resolved(star.triplets(spark, sf), star.entities(spark, sf)).select("subject_id", "predicate", "object_id", "seq")
+
+
+@query(SQL["edges_dangling"].replace(PARTIAL, ALL))
+def edges_dangling_whole(spark, sf):
+    return graph.dangling(graph.dedup_triplets(star.triplets(spark, sf)), star.entities(spark, sf))
+
+
+@query(SQL["nodes_isolated"].replace(" WHERE predicate <> 'supplies'", ""))
+def nodes_isolated_whole(spark, sf):
+    g = star.graph(spark, sf)
+    return graph.isolated(g.triplets, g.entities).select("id", "type")
+
+
+@query(SQL["relation_chunk_text"].replace(PARTIAL, ALL))
+def relation_chunk_text_whole(spark, sf):
+    return graph.relation_texts(graph.dedup_triplets(star.triplets(spark, sf)), graph.entity_index(star.entities(spark, sf)))
+
+
 @query("SELECT doc_id AS entity_id, CASE WHEN length(source || ' ' || text) > 500 THEN substr(source || ' ' || text, 1, 500) || '...' ELSE source || ' ' || text END AS text FROM documents")
 def entity_chunk_text(spark, sf):
     return graph.entity_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("description"), F.col("text").alias("original_text")))

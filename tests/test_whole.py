@@ -1,10 +1,11 @@
 """Queries over whole tables: what a subset or a prefix would miss."""
 
 import importlib
+from pathlib import Path
 
 import numpy as np
 
-from graphloom.operators import retrieve
+from graphloom.operators import graph, retrieve
 from graphloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,33 @@ def test_second_search_fills_up(spark):
     second = spark.createDataFrame([(1, 9, 1), (1, 6, 2), (2, 6, 1)], hits)
     contents = spark.createDataFrame([(5, "e"), (6, "f"), (7, "g"), (8, "g"), (9, "i")], "id long, content string")
     assert sorted(map(tuple, retrieve.merged(first, second, contents).collect())) == [(1, 6, 3), (1, 7, 1), (1, 9, 2), (2, 5, 3), (2, 7, 1), (2, 9, 2)]
+
+
+def agree(spark, *names):
+    """Rows of the queries, which equal those of their SQL."""
+    duckdb = importlib.import_module("duckdb")
+    con, found = duckdb.connect(), {}
+    for p in Path(SF).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    for name in names:
+        df, want = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
+        found[name] = [r.asDict() for r in df.collect()]
+        assert sorted(repr(sorted(r.items())) for r in found[name]) == sorted(repr(sorted(zip(want.columns, r, strict=True))) for r in want.fetchall()), name
+    return found
+
+
+def test_edges_of_all_parts(spark):
+    got = agree(spark, "edges_resolved_whole", "edges_dangling_whole", "nodes_isolated_whole", "relation_chunk_text_whole")
+    parts = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert sum(r["predicate"] == "supplies" for r in got["edges_resolved_whole"]) == parts.count()
+    supplied = {f"p_{r[0]}" for r in parts.select("l_partkey").distinct().collect()}
+    assert not supplied & {r["id"] for r in got["nodes_isolated_whole"]}
+    assert not [r for r in got["edges_dangling_whole"] if r["object_id"] in supplied] and not [r for r in got["relation_chunk_text_whole"] if r["text"].endswith("supplies ")]
+
+
+def test_dangling_and_isolated_in_a_fixture(spark):
+    e = spark.createDataFrame([("a", ["A"], 1), ("b", ["B"], 2), ("c", ["C"], 3)], "id string, label array<string>, seq long")
+    t = spark.createDataFrame([("a", "is", "b", 1), ("a", "is", "x", 2), ("y", "is", "z", 3)], "subject_id string, predicate string, object_id string, seq long")
+    assert [r["id"] for r in graph.isolated(t, e).collect()] == ["c"]
+    assert sorted(map(tuple, graph.dangling(t, e).collect())) == [("a", "is", "x", False, True), ("y", "is", "z", True, True)]
+    assert sorted(r["text"] for r in graph.relation_texts(t, graph.entity_index(e)).collect()) == [" is ", "A is ", "A is B"]
