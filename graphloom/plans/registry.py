@@ -58,6 +58,21 @@ def lexical_context(spark, sf):
     return retrieve.lexical_context(retrieve.lexical_topk(q, d), d, q)
 
 
+def whole_documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"), F.col("text").alias("original_text"))
+
+
+@query(SQL["lexical_topk"].replace("substr(text, 1, 200)", "text"))
+def lexical_topk_whole(spark, sf):
+    return retrieve.lexical_topk(questions(spark, sf), whole_documents(spark, sf))
+
+
+@query(SQL["lexical_context"].replace("substr(text, 1, 200)", "text"))
+def lexical_context_whole(spark, sf):
+    q, d = questions(spark, sf), whole_documents(spark, sf)
+    return retrieve.lexical_context(retrieve.lexical_topk(q, d), d, q)
+
+
 @query("""SELECT b.item_id AS q_id, any_value(b.text) || ' ' || coalesce(string_agg(l, ' ' ORDER BY k), '') AS query
 FROM benchmark b LEFT JOIN (SELECT DISTINCT doc_id AS k, regexp_extract(text, '^[^\\s]+') AS l FROM documents) ON contains(lower(b.text), lower(l)) GROUP BY 1""")
 def query_expand(spark, sf):
@@ -282,6 +297,17 @@ def option_argmax(spark, sf):
     return o.select("doc_id", evaluate.best_option(evaluate.option_scores(F.col("options"), F.col("context"))).alias("answer"))
 
 
+@query(r"""WITH n AS (SELECT doc_id, text, CAST(ceil(length(text) / 4) AS INT) AS n FROM documents),
+o AS (SELECT doc_id, [substr(text, 1, n), substr(text, 1 + n, n), substr(text, 1 + 2 * n, n), substr(text, 1 + 3 * n, n)] AS options, lower(text) AS c FROM n),
+s AS (SELECT doc_id, list_transform(options, lambda x: len(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: length(w) > 3 AND contains(c, w)))) AS s FROM o)
+SELECT doc_id, CASE WHEN list_max(s) > 0 THEN chr(CAST(64 + list_position(s, list_max(s)) AS INT)) ELSE 'A' END AS answer FROM s""")
+def option_argmax_whole(spark, sf):
+    n = F.ceil(F.length("text") / 4).cast("int")
+    part = lambda k: F.substring("text", 1 + n * k, n)
+    o = table(spark, sf, "documents").select("doc_id", F.array(*[part(k) for k in range(4)]).alias("options"), F.col("text").alias("context"))
+    return o.select("doc_id", evaluate.best_option(evaluate.option_scores(F.col("options"), F.col("context"))).alias("answer"))
+
+
 ALONE = r"regexp_extract(u, '(^|[^\p{L}\p{N}_])([ABCD])($|[^\p{L}\p{N}_])', 2)"
 
 
@@ -389,6 +415,13 @@ def clean_options(spark, sf):
     return d.select("doc_id", T.option_text(F.concat(mark, "t")).alias("option"))
 
 
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', '_', 'g'), '^\s+|\s+$', '', 'g') AS option FROM documents")
+def clean_options_whole(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\s+", "_").alias("t"))
+    mark = F.element_at(F.array(*[F.lit(m) for m in ("(A) ", "b. ", "C) ", "D: ", "A - ")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return d.select("doc_id", T.option_text(F.concat(mark, "t")).alias("option"))
+
+
 @query("SELECT o_orderkey, o_orderpriority LIKE '1%' AS truth FROM orders")
 def truth_tokens(spark, sf):
     token = F.when(F.col("o_orderpriority").startswith("1"), F.element_at(F.array(F.lit(" yes"), F.lit("Đ"), F.lit("true"), F.lit("Tx")), (F.col("o_orderkey") % 4 + 1).cast("int"))).otherwise(F.col("o_orderstatus"))

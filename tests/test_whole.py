@@ -63,3 +63,12 @@ def test_dangling_and_isolated_in_a_fixture(spark):
     assert [r["id"] for r in graph.isolated(t, e).collect()] == ["c"]
     assert sorted(map(tuple, graph.dangling(t, e).collect())) == [("a", "is", "x", False, True), ("y", "is", "z", True, True)]
     assert sorted(r["text"] for r in graph.relation_texts(t, graph.entity_index(e)).collect()) == [" is ", "A is ", "A is B"]
+
+
+def test_texts_count_to_their_end(spark):
+    got = agree(spark, "option_argmax_whole", "lexical_topk_whole", "lexical_context_whole", "clean_options_whole")
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert any(r["answer"] != "A" for r in got["option_argmax_whole"])
+    assert all(len(r["option"]) > 30 for r in got["clean_options_whole"] if len("_".join(docs[r["doc_id"]].split())) > 40)
+    asked = {r["item_id"]: [w for w in r["text"].lower().split() if len(w) > 2] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert all(r["score"] == sum(3 * (w in docs[r["id"]].lower()) for w in asked[r["q_id"]]) for r in got["lexical_topk_whole"])
