@@ -97,12 +97,12 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes other than ASCII white space, never across rows: begin, end (bytes), row."""
+def words(data: np.ndarray, starts: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes other than ASCII white space (or of those marked in `solid`), never across rows: begin, end (bytes), row."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~_SPACE[data] if solid is None else solid
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
