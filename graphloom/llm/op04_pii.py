@@ -5,7 +5,11 @@ or with a known prefix; Shannon entropy). A proposal that its validator rejects
 UP where a supporting word stands within NEAR characters before or AFTER behind, minus DOWN where a contrary one does; spans of at
 least THRESHOLD stay. For cards every stretch of a run of digits that begins and ends with a group is tried, as dates, codes and numbers may stand beside one. Of overlapping spans the one with the highest score stays, then the longest, then the first.
 
-Every kind needs a digit or an @, so a text without either is passed over by one cheap search; all other texts are searched whole.
+A SECRET is a run of at least SHORTEST characters that holds a digit, or a capital after a small letter; one with a known prefix needs neither. A run of small letters
+alone, however long, is taken for a word.
+
+Every kind but SECRET needs a digit or an @, and a SECRET without a digit one of KEYS, so a text with none of them is passed over by cheap searches; all other texts are
+searched whole. No kind has a longest length but those that its own rules set (63 characters for a label of a host name).
 
 Defined results: null and empty texts have no spans and are redacted to themselves; a null doc_id stays null in the rows of its spans; repeated rows give
 their spans each; an empty table gives an empty result; other columns are passed through untouched.
@@ -28,8 +32,11 @@ from graphloom.llm import _shared as S
 THRESHOLD, UP, DOWN, NEAR, AFTER = 0.5, 0.25, 0.3, 48, 16
 
 ANY = re.compile(r"[0-9@]")
-AT = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
-LOCAL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}\Z")
+KEYS = ("token", "secret", "key", "passw", "bearer", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+SHORTEST = 16
+AT = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}(?![A-Za-z0-9])")
+NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+\-]")
+HIDDEN = re.compile(r"[0-9]|[a-z][A-Z]")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w.])\+\d{8,15}(?!\w)")
 DIGITS = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,}(?!\w)")
 GROUP = re.compile(r"\d+")
@@ -119,11 +126,14 @@ def cards(run: str) -> Iterator[tuple[int, int]]:
 def proposals(text: str) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, kind, base score) of the spans that their validators confirm."""
     if "@" in text:
+        before = 0  # no local part holds an @, so each is looked for behind the last one
         for m in AT.finditer(text):
-            if left := LOCAL.search(text, max(0, m.start() - 64), m.start()):
-                name = left.group().lstrip(".")
-                if name and ".." not in name and not name.endswith("."):
-                    yield m.start() - len(name), m.end(), "EMAIL", BASE["EMAIL"]
+            before = max(before, text.rfind("@", 0, m.start()) + 1)
+            turned = text[before : m.start()][::-1]
+            name = turned[: bad.start() if (bad := NOT_LOCAL.search(turned)) else None][::-1].lstrip(".")
+            if name and ".." not in name and not name.endswith("."):
+                yield m.start() - len(name), m.end(), "EMAIL", BASE["EMAIL"]
+            before = m.end()
     for m in DIGITS.finditer(text):
         for start, end in cards(m.group()):
             yield m.start() + start, m.start() + end, "CARD", BASE["CARD"]
@@ -152,13 +162,13 @@ def proposals(text: str) -> Iterator[tuple[int, int, str, float]]:
     for m in SECRET.finditer(text):
         g = 1 if m.group(1) else 2
         v = m.group(g)
-        if any(c in "0123456789" for c in v) and entropy(v) >= 3.0:
+        if (g == 2 or HIDDEN.search(v)) and entropy(v) >= 3.0:
             yield m.start(g), m.end(g), "SECRET", BASE["SECRET"]
 
 
 def spans(text: str | None) -> list[tuple[int, int, str, float]]:
     """The spans that stay, by start."""
-    if not text or not ANY.search(text):
+    if not text or not ANY.search(text) and not any(k in low for low in [text.lower()] for k in KEYS):
         return []
     scored = []
     for start, end, kind, base in proposals(text):
@@ -218,7 +228,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in S.slices(batches, "text", 8_000_000):
         at = b.schema.get_field_index("text")
         new = [redacted(t) for t in b.column(at).to_pylist()]
         cols = list(b.columns)

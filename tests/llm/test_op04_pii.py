@@ -52,6 +52,35 @@ def test_secrets_to_their_end():
     assert O.redacted(f"token = {value} end") == "token = [SECRET] end"
 
 
+def test_secrets_without_digits():
+    word = "CorrectHorseBatteryStaple"
+    assert kinds(f"password = {word} and so on") == [("SECRET", word)] and O.redacted(f"the Password: '{word}'") == "the Password: '[SECRET]'"
+    assert kinds("ghp_" + "abcdefghijklmnopqr" * 2) == [("SECRET", "ghp_" + "abcdefghijklmnopqr" * 2)]
+    assert kinds("a secret: wohnungseigentumsverwaltung") == [] and kinds("no key here, only words") == []
+
+
+def test_long_mail_addresses():
+    name = "a.b-c" * 40
+    host = ".".join(f"part{k}" for k in range(20)) + ".example.technology"
+    assert kinds(f"mail ({name}@{host})") == [("EMAIL", f"{name}@{host}")]
+    assert kinds("a@b.org@c.org") == [("EMAIL", "a@b.org")] and kinds("@a.org x@@b.org") == []
+    assert len(kinds("x" * 200000 + " " + "y@z.org " * 20000)) == 20000
+
+
+def brute_emails(text):
+    """Every stretch of the text, by the rules alone."""
+    import re
+
+    whole = re.compile(r"[A-Za-z0-9_%+-](?:[A-Za-z0-9_%+-]|\.(?!\.))*(?<!\.)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}")
+    found = {(a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if whole.fullmatch(text[a:b])}
+    return [(a, b) for a, b in sorted(found) if not any((c, d) != (a, b) and c <= a and b <= d for c, d in found)]
+
+
+def test_mail_addresses_equal_every_stretch():
+    for text in ("write to j.doe@mail.example.org, or x+y@a-b.co", "no at sign", "a@b, c@d.e, f@gh.ij.", "(me@x.org)(you@y.org)"):
+        assert [(a, b) for a, b, k, _ in O.spans(text) if k == "EMAIL"] == brute_emails(text), text
+
+
 def test_context_moves_the_score():
     assert kinds("call 555 123 4567") == [("PHONE", "555 123 4567")]
     assert kinds("we sold 555 123 4567") == [] and kinds("order 555 123 4567") == []
