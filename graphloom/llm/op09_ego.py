@@ -1,17 +1,18 @@
 """Near-duplicate embeddings by an epsilon grid order join.
 
-Vectors are scaled to unit length, so a cosine of at least COSINE is a distance of at most epsilon = sqrt(2 - 2 COSINE). They are turned to the
-principal axes (covariance over all vectors), laid in a grid of epsilon-wide cells on the LEADING axes, and sorted by cell: the epsilon grid order.
-The sequence is cut into intervals of at most INTERVAL vectors with the box that each one fills. Interval pairs whose boxes are
+Equal vectors are one class and enter the join once, so copies never make pairs. Vectors are scaled to unit length, so a cosine of at least COSINE is a distance of at most
+epsilon = sqrt(2 - 2 COSINE). They are turned to the principal axes (covariance over all distinct vectors), laid in a grid of epsilon-wide cells on the LEADING axes, and
+sorted by cell: the epsilon grid order. The sequence is cut into intervals of at most INTERVAL vectors with the box that each one fills. Interval pairs whose boxes are
 within epsilon of each other are joined: halved recursively, a pair of parts is skipped once the distance of their boxes
 (a lower bound of all distances between them) is above epsilon, and parts of LEAF vectors are compared in full. Distances in some axes never
 exceed the whole distance, so no pair is lost: the join is exact.
 
-Interval pairs meet by an equi-join on the cells of the first two axes that their boxes touch; only boxes and ids go through it. The vectors of an interval
-travel as one packed row.
+Interval pairs meet by an equi-join on the cells of the first two axes that their boxes touch; only boxes and ids go through it. GROUP intervals that follow each other
+travel as one packed row, so an interval is sent once for each group that one of its group meets, not once for each interval.
 
-Defined results: null, empty, zero, non-finite vectors and those with null entries, or of another length than the commonest, have no partner; rows with a null
-vec_id take no part (nothing names them); rows of one vec_id are no pair; repeated rows give their pairs once; an empty table gives an empty result.
+Defined results: null, empty, zero, non-finite vectors and those with null entries, or of another length than the commonest, are left out; so are rows with a null
+vec_id (nothing names them); repeated rows count once; a vec_id with several vectors has a row for each; ties don't matter, as every pair is judged by itself; an empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import _shared as S
 
-COSINE, LEADING, INTERVAL, LEAF = 0.95, 6, 1024, 64
-SLACK = 1e-5  # for rounding in the bounds; pairs themselves are decided by COSINE in double precision
+COSINE, LEADING, INTERVAL, LEAF, GROUP = 0.95, 6, 1024, 128, 8
+SLACK = 1e-4  # for rounding in the bounds, which are in single precision; pairs themselves are decided by COSINE in double precision
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -42,12 +44,17 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(id, v) of the vectors that can be compared, each row once, and their length."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0")
-    rows = rows.where(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0))
+    rows = rows.distinct().where(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = common["d"] if common else 0
     return rows.where(F.size("v") == dim), dim
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """(id, v, n): each distinct vector once, with the least id that has it and the number of those that do. Written, as it is read several times."""
+    return S.written(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "vectors")
+
+
 def axes(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and principal axes (columns, leading first) of all unit vectors; partial sums are added up by Spark."""
 
@@ -105,47 +112,67 @@ def join(a: np.ndarray, b: np.ndarray, epsilon: float, leading: int, own: bool,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
-def sequence(rows: DataFrame, mean: np.ndarray, axis: np.ndarray, epsilon: float, leading: int = LEADING, interval: int = INTERVAL) -> DataFrame:
-    """The intervals of the epsilon grid order: number, box (lo, hi), ids and packed unit vectors. Written, so that their numbers stay."""
+def sequence(rows: DataFrame, mean: np.ndarray, axis: np.ndarray, epsilon: float, kind: type = np.float32, leading: int = LEADING, interval: int = INTERVAL) -> DataFrame:
+    """The intervals of the epsilon grid order: number, box (lo, hi), ids and packed vectors as they came. Written, so that their numbers stay."""
     dim = len(mean)
-    leading = min(leading, dim)
     cells = [f"c{k}" for k in range(leading)]
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = unit(_matrix(b.column(1), dim))
-                cell = np.floor((x - mean) @ axis[:, :leading] / epsilon).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *(pa.array(cell[:, k]) for k in range(leading))], names=["id", "x", *cells])
+                x = _matrix(b.column(1), dim)
+                cell = np.floor((unit(x) - mean) @ axis[:, :leading] / epsilon).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), *(pa.array(cell[:, k]) for k in range(leading))], names=["id", "x", *cells])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = TaskContext.get().partitionId() << 33
         for b in batches:
             for k in range(0, b.num_rows, interval):
                 part = b.slice(k, interval)
-                x = np.frombuffer(b"".join(part.column(1).to_pylist())).reshape(-1, dim)
-                z = (x - mean) @ axis[:, :leading]
-                packed = pa.array([x.tobytes()], pa.binary())
-                ids = pa.array([part.column(0).to_numpy().tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([list(z.min(0))], pa.list_(pa.float64())), pa.array([list(z.max(0))], pa.list_(pa.float64())), ids, packed], names=["lo", "hi", "ids", "x"])
+                packed = b"".join(part.column(1).to_pylist())
+                z = (unit(np.frombuffer(packed, kind).reshape(-1, dim).astype(float)) - mean) @ axis[:, :leading]
+                ids = part.column(0).to_numpy().tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([list(z.min(0))], pa.list_(pa.float64())), pa.array([list(z.max(0))], pa.list_(pa.float64())), pa.array([ids], pa.binary()), pa.array([packed], pa.binary())], names=["no", "lo", "hi", "ids", "x"])
+                no += 1
 
     spread = rows.select("id", "v").mapInArrow(turned, "id long, x binary, " + ", ".join(f"{c} int" for c in cells))
-    ordered = spread.orderBy(*cells, "id", "x")
-    kept = S.written(ordered.mapInArrow(cut, "lo array<double>, hi array<double>, ids binary, x binary"), "intervals")
-    return S.written(kept.withColumn("no", F.monotonically_increasing_id()), "intervals-numbered")
+    return S.written(spread.orderBy(*cells, "id", "x").mapInArrow(cut, "no long, lo array<double>, hi array<double>, ids binary, x binary"), "intervals")
 
 
-def near_pairs(vectors: DataFrame, cosine: float = COSINE, leading: int = LEADING, interval: int = INTERVAL) -> DataFrame:
-    """(vec_id_a, vec_id_b, cosine), a < b: every pair with at least this cosine, once."""
-    spark = vectors.sparkSession
-    S.ship(spark)
-    rows, dim = usable(vectors)
-    schema = "vec_id_a long, vec_id_b long, cosine double"
-    if not dim:
-        return spark.createDataFrame([], schema)
-    epsilon = float(np.sqrt(2 - 2 * cosine)) + SLACK
-    mean, axis = axes(rows, dim)
-    all_ = sequence(rows, mean, axis, epsilon, leading, interval)
-    leading = min(leading, dim)
+def _compared(dim: int, axis: np.ndarray, cosine: float, epsilon: float, leading: int, kind: type, pairs: bool):
+    def intervals(rows: list[dict]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        out = {}
+        for r in rows:
+            x = unit(np.frombuffer(r["x"], kind).reshape(-1, dim).astype(float))
+            out[r["no"]] = np.frombuffer(r["ids"], np.int64), x, (x @ axis).astype(np.float32)
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                meet, left, right = (batch.column(c)[k].as_py() for c in range(3))
+                left, right, counts = intervals(left), intervals(right), []
+                for m in meet:
+                    (ia, xa, ta), (ib, xb, tb) = left[m["a"]], right[m["b"]]
+                    i, j = join(ta, tb, epsilon, leading, m["a"] == m["b"])
+                    value = np.einsum("ij,ij->i", xa[i], xb[j])
+                    good = (value >= cosine) & (ia[i] != ib[j])
+                    u, v = ia[i][good], ib[j][good]
+                    if pairs and len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.round(value[good], 4))], names=["vec_id_a", "vec_id_b", "cosine"])
+                    counts += [u, v]
+                if not pairs and counts:
+                    ids, n = np.unique(np.concatenate(counts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["id", "links"])
+
+    return compare
+
+
+def _met(distinct: DataFrame, dim: int, cosine: float, leading: int, interval: int, kind: type, pairs: bool) -> DataFrame:
+    """The links between distinct vectors (id, v): as pairs, or as partial counts of each."""
+    epsilon, leading = float(np.sqrt(2 - 2 * cosine)) + SLACK, min(leading, dim)
+    mean, axis = axes(distinct, dim)
+    all_ = sequence(distinct, mean, axis, epsilon, kind, leading, interval)
 
     def touched(far: float, k: int) -> F.Column:
         low, high = F.floor((F.col("lo")[k] - far) / epsilon), F.floor((F.col("hi")[k] + far) / epsilon)
@@ -159,33 +186,50 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE, leading: int = LEADIN
     keys = ["k0", "k1"][:leading]
     a, b = wide.select(F.col("no").alias("a"), F.col("lo").alias("al"), F.col("hi").alias("ah"), *keys), reach.select(F.col("no").alias("b"), F.col("lo").alias("bl"), F.col("hi").alias("bh"), *keys)
     apart = sum((F.pow(F.greatest(F.lit(0.0), F.col("al")[k] - F.col("bh")[k], F.col("bl")[k] - F.col("ah")[k]), F.lit(2.0)) for k in range(leading)), F.lit(0.0))
-    pairs = a.join(b, keys).where("a <= b").where(apart <= epsilon * epsilon).select("a", "b").distinct()
-    left = all_.select(F.col("no").alias("a"), F.col("ids").alias("ida"), F.col("x").alias("xa"))
-    right = all_.select(F.col("no").alias("b"), F.col("ids").alias("idb"), F.col("x").alias("xb"))
-    packed = pairs.join(left, "a").join(right, "b").select("a", "b", "ida", "xa", "idb", "xb")
+    near = a.join(b, keys).where("a <= b").where(apart <= epsilon * epsilon).select("a", "b").distinct()
+    group = lambda c: F.floor(F.col(c) / GROUP)
+    meet = near.groupBy(group("a").alias("ga"), group("b").alias("gb")).agg(F.collect_list(F.struct("a", "b")).alias("meet"))  # GROUP^2 at most
+    packed = all_.groupBy(group("no").alias("g")).agg(F.collect_list(F.struct("no", "ids", "x")).alias("rows"))  # GROUP at most
+    both = meet.join(packed.select(F.col("g").alias("ga"), F.col("rows").alias("left")), "ga").join(packed.select(F.col("g").alias("gb"), F.col("rows").alias("right")), "gb")
+    schema = "vec_id_a long, vec_id_b long, cosine double" if pairs else "id long, links long"
+    return both.select("meet", "left", "right").mapInArrow(_compared(dim, axis, cosine, epsilon, leading, kind, pairs), schema)
+
+
+def _kind(vectors: DataFrame) -> type:
+    """Vectors of single precision travel as such; any others in double precision."""
+    return np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+
+
+def near_pairs(vectors: DataFrame, cosine: float = COSINE, leading: int = LEADING, interval: int = INTERVAL) -> DataFrame:
+    """(vec_id_a, vec_id_b, cosine), a < b: every pair of classes, named by their least ids, with at least this cosine, once."""
+    S.ship(vectors.sparkSession)
+    rows, dim = usable(vectors)
+    if not dim:
+        return vectors.sparkSession.createDataFrame([], "vec_id_a long, vec_id_b long, cosine double")
+    found = _met(classes(rows), dim, cosine, leading, interval, _kind(vectors), True)
+    return found.groupBy("vec_id_a", "vec_id_b").agg(F.max("cosine").alias("cosine"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                na, nb, ida, xa, idb, xb = (batch.column(c)[k].as_py() for c in range(6))
-                ia, ib = np.frombuffer(ida, np.int64), np.frombuffer(idb, np.int64)
-                ta, tb = ((np.frombuffer(x).reshape(-1, dim)) for x in (xa, xb))
-                i, j = join(ta @ axis, tb @ axis, epsilon, leading, na == nb)
-                value = np.einsum("ij,ij->i", ta[i], tb[j])
-                good = (value >= cosine) & (ia[i] != ib[j])
-                u, v = ia[i][good], ib[j][good]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.round(value[good], 4))], names=["vec_id_a", "vec_id_b", "cosine"])
 
-    return packed.mapInArrow(compare, schema).groupBy("vec_id_a", "vec_id_b").agg(F.max("cosine").alias("cosine"))
+def linked(vectors: DataFrame, cosine: float = COSINE, leading: int = LEADING, interval: int = INTERVAL) -> DataFrame:
+    """One row a vector: vec_id, class_id (the least vec_id with an equal vector), class_size, links (other classes with at least this cosine)."""
+    S.ship(vectors.sparkSession)
+    rows, dim = usable(vectors)
+    if not dim:
+        return vectors.sparkSession.createDataFrame([], "vec_id long, class_id long, class_size long, links long")
+    of = classes(rows)
+    links = _met(of, dim, cosine, leading, interval, _kind(vectors), False).groupBy("id").agg(F.sum("links").alias("links"))
+    named = of.join(links, "id", "left").select("v", F.col("id").alias("class_id"), F.col("n").alias("class_size"), F.coalesce("links", F.lit(0)).alias("links"))
+    # a vector that a third of all rows share makes one large key here; adaptive execution splits it
+    return rows.join(named, "v").select(F.col("id").alias("vec_id"), "class_id", "class_size", "links")
 
 
 def op9_ego_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(S.table(spark, sf_dir, "embeddings"))
+    return linked(S.table(spark, sf_dir, "embeddings"))
 
 
 SQL = f"""
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.e, b.e), 4) AS cosine
-FROM v a JOIN v b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT e, min(vec_id) AS class_id, count(*) AS class_size FROM v GROUP BY e),
+l AS (SELECT a.class_id, count(*) AS links FROM c a JOIN c b ON a.class_id <> b.class_id WHERE list_cosine_similarity(a.e, b.e) >= {COSINE} GROUP BY 1)
+SELECT vec_id, class_id, class_size, CAST(coalesce(links, 0) AS BIGINT) AS links FROM v JOIN c USING (e) LEFT JOIN l USING (class_id)
 """
