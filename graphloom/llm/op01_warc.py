@@ -1,15 +1,20 @@
 """WARC salvage: after a failed check, search for the next valid member or version line, recover later records, log quarantined byte gaps.
 
-A file may hold gzip members (one record each) and plain records, also mixed. A record is valid if its member inflates with the right
-CRC and size, its version line is WARC/1.0 or WARC/1.1, its header ends within HEADER bytes, its block is as long as Content-Length says and ends in two
-line ends, and a sha1 WARC-Block-Digest, if any, is the block's. Where a check fails, the reader tries each later gzip magic and each version line at the
+A file may hold gzip members (of one record or of several) and plain records, also mixed. A record is valid if its version line is WARC/1.0 or WARC/1.1, its header consists of
+fields (folded ones too) up to an empty line, its block is as long as Content-Length says and ends in two line ends, a sha1 WARC-Block-Digest, if any, is the block's, and, where it
+is alone in its member, the member inflates with the right CRC and size. Headers may be of any length: one that is no header ends at its first line that is no field. Where a
+check fails, the reader tries each later gzip magic and each version line at the
 begin of a line, in file order, by all these checks; the bytes up to the first one that passes, or to the end of the file, are a gap
 with the reason of the first failure. Files are read by position in pieces of CHUNK bytes; only one record is in memory at a time. A task
 reads whole files, so the number of files is the parallelism; archives come in files of about a gigabyte.
 
+Members of several records (an archive compressed as a whole) are inflated as a stream: their records have the member's offset and a null length. Where such a member is damaged, the
+records before the damage are given, and the gap begins with the member, as no byte inside it can be named.
+
 Defined results: an empty file has neither records nor gaps; a record inside a damaged plain record's block is recovered as a record; bytes between
 records are a gap; a file that can't be opened is one gap of unknown (null) length; archiving turns a null html into a record marked as such, which reads back as null, an empty one into an empty
-block, a null page_id or url into a missing header; repeated rows are records each; an empty table makes no file.
+block, a null page_id or url into a missing header; repeated rows are records each; an empty table makes no file. A block that isn't UTF-8 reads as html with U+FFFD in place of what is
+none (`read_warc` has its bytes); a URI with a stray % stays as it is; other columns of `pages` are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,11 +36,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _shared as S
 
-HEADER, CHUNK, ROLL = 65536, 1 << 20, 1 << 30
+CHUNK, ROLL = 1 << 20, 1 << 30
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
-FIELD = re.compile(rb"([^\s:]+):[ \t]*([^\r\n]*)\r\n")
+VALUE = rb"[^\x00-\x08\x0a-\x1f]*"
+LINE = re.compile(rb"(?:([!-9;-~]+)[ \t]*:|[ \t])(" + VALUE + rb")\r\n")
+BEGUN = re.compile(rb"(?:[!-9;-~]+[ \t]*(?::" + VALUE + rb"\r?)?|[ \t]" + VALUE + rb"\r?|\r?)\Z")
 SCHEMA = "kind string, file string, offset long, length long, reason string, warc_type string, record_id string, target_uri string, date string, headers map<string,string>, block binary"
 
 
@@ -57,18 +65,30 @@ class Source:
         return self.piece[at - self.at : at - self.at + n]
 
 
-def head(data: bytes) -> tuple[int, dict[str, str], int]:
-    """Bytes of the header, its fields, the block's length."""
-    if not VERSION.match(data):
+def head(data: Callable[[], bytes], more: Callable[[], bool]) -> tuple[int, dict[str, str], int]:
+    """Bytes of the header, its fields, the block's length. data: the bytes so far; more: gets further ones, False at the end."""
+    while len(data()) < 10 and more():
+        pass
+    if not (m := VERSION.match(data())):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", 0, HEADER + 4)
-    if end < 0:
-        raise Bad("header without end")
-    fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(data[: end + 2])}
-    length = fields.get("content-length", "").strip()
+    fields: dict[str, str] = {}
+    at, name = m.end(), None
+    while not data().startswith(b"\r\n", at):
+        m = LINE.match(data(), at)
+        if m:
+            value = m[2].strip(b" \t").decode("utf-8", "replace")
+            if m[1]:
+                name = m[1].decode("latin-1").lower()
+                fields[name] = value
+            elif name:
+                fields[name] = f"{fields[name]} {value}".strip()
+            at = m.end()
+        elif not BEGUN.match(data(), at) or not more():
+            raise Bad("header without end")
+    length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Bad("no content length")
-    return end + 4, fields, int(length)
+    return at + 2, fields, int(length)
 
 
 def digest(block: bytes) -> str:
@@ -83,7 +103,14 @@ def checked(fields: dict[str, str], block: bytes) -> bytes:
 
 
 def plain(source: Source, at: int) -> tuple[int, dict[str, str], bytes]:
-    size, fields, length = head(source.read(at, HEADER + 4))
+    begun = [source.read(at, 4096)]
+
+    def more() -> bool:
+        had = len(begun[0])
+        begun[0] = source.read(at, 4 * had)
+        return len(begun[0]) > had
+
+    size, fields, length = head(lambda: begun[0], more)
     end = at + size + length
     if end + 4 > source.size:
         raise Bad("record beyond the end of the file")
@@ -92,32 +119,59 @@ def plain(source: Source, at: int) -> tuple[int, dict[str, str], bytes]:
     return end + 4, fields, checked(fields, source.read(at + size, length))
 
 
-def member(source: Source, at: int) -> tuple[int, dict[str, str], bytes]:
-    inflate, out, pos, known = zlib.decompressobj(wbits=31), bytearray(), at, None
-    while not inflate.eof:
-        piece = source.read(pos, 1 << 16)
+class Member:
+    """A gzip member's bytes, inflated as they are asked for."""
+
+    def __init__(self, source: Source, at: int) -> None:
+        self.source, self.at, self.inflate, self.out = source, at, zlib.decompressobj(wbits=31), bytearray()
+
+    def more(self) -> bool:
+        if self.inflate.eof:
+            return False
+        piece = self.source.read(self.at, 1 << 16)
         if not piece:
             raise Bad("member without end")
         try:
-            out += inflate.decompress(piece)
+            self.out += self.inflate.decompress(piece)
         except zlib.error:
             raise Bad("damaged member") from None
-        pos += len(piece)
-        if known is None and (len(out) >= HEADER + 4 or b"\r\n\r\n" in out or len(out) >= 8 and not out.startswith(b"WARC/1.")):
-            known = head(bytes(out[: HEADER + 4]))
-        if known and len(out) > known[0] + known[2] + 4:
+        self.at += len(piece)
+        return True
+
+    def has(self, n: int) -> bool:
+        while len(self.out) < n:
+            if not self.more():
+                return False
+        return True
+
+    def take(self) -> tuple[dict[str, str], bytes]:
+        size, fields, length = head(lambda: self.out, self.more)
+        if not self.has(size + length + 4) or self.out[size + length : size + length + 4] != b"\r\n\r\n":
             raise Bad("wrong content length")
-    size, fields, length = known or head(bytes(out))
-    if len(out) != size + length + 4 or not out.endswith(b"\r\n\r\n"):
-        raise Bad("wrong content length")
-    return pos - len(inflate.unused_data), fields, checked(fields, bytes(out[size : size + length]))
-
-
-def parse(source: Source, at: int) -> tuple[int, dict[str, str], bytes]:
-    begin = source.read(at, 10)
-    if begin.startswith(MAGIC):
-        return member(source, at)
-    return plain(source, at)
+        block = checked(fields, bytes(self.out[size : size + length]))
+        del self.out[: size + length + 4]
+        return fields, block
+
+    def end(self) -> int:
+        return self.at - len(self.inflate.unused_data)
+
+
+def parse(source: Source, at: int) -> Iterator[tuple[int | None, dict[str, str] | None, bytes]]:
+    """(end, fields, block) of the record at `at`, or of each record of the member there: with end None if they are several, and (end, None, b"") at last."""
+    if not source.read(at, 3).startswith(MAGIC):
+        yield plain(source, at)
+        return
+    member = Member(source, at)
+    first = member.take()
+    if not member.has(1):  # inflated to its end, so CRC and size are right
+        yield member.end(), *first
+        return
+    fields, block = member.take()  # the second one shows that they are several
+    yield None, *first
+    yield None, fields, block
+    while member.has(1):
+        yield None, *member.take()
+    yield member.end(), None, b""
 
 
 def candidates(source: Source, at: int) -> Iterator[int]:
@@ -138,24 +192,28 @@ def candidates(source: Source, at: int) -> Iterator[int]:
 
 def salvage(source: Source) -> Iterator[tuple]:
     """("record", offset, length, fields, block) and ("gap", offset, length, reason), in file order."""
-    at = 0
+    at, reason = 0, None  # a reason: what is at `at` was tried
     while at < source.size:
-        try:
-            found, begin = parse(source, at), at
-        except Bad as e:
-            found, begin = None, source.size
-            for place in candidates(source, at + 1):
-                try:
-                    found, begin = parse(source, place), place
-                    break
-                except Bad:
+        for place in chain([] if reason else [at], candidates(source, at + 1)):
+            end = given = None
+            try:
+                for end, fields, block in parse(source, place):
+                    if not given and place > at:
+                        yield "gap", at, place - at, reason
+                    if fields is not None:
+                        yield "record", place, None if end is None else end - place, fields, block
+                    given = True
+            except Bad as e:
+                if not given:
+                    reason = reason or str(e)
                     continue
-            yield "gap", at, begin - at, str(e)
-        if found:
-            end, fields, block = found
-            yield "record", begin, end - begin, fields, block
-            begin = end
-        at = begin
+                at, reason = place, str(e)  # a member of several records, damaged behind some of them
+            else:
+                at, reason = end, None
+            break
+        else:
+            yield "gap", at, source.size - at, reason
+            return
 
 
 def opened(uri: str):
@@ -285,7 +343,7 @@ def salvaged_pages(files: DataFrame) -> DataFrame:
     """kind, file, offset, length, reason, page_id, url, html."""
     r = read_warc(files)
     missing = F.coalesce(F.col("headers")["warc-block-missing"] == "true", F.lit(False))
-    url = F.expr("replace(url_decode(replace(target_uri, '+', '%2B')), '\\u0000', '')")
+    url = F.coalesce(F.expr("replace(try_url_decode(replace(target_uri, '+', '%2B')), '\\u0000', '')"), F.col("target_uri"))
     return r.select(
         "kind",
         F.element_at(F.split("file", "/"), -1).alias("file"),
@@ -294,7 +352,7 @@ def salvaged_pages(files: DataFrame) -> DataFrame:
         "reason",
         F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"),
         url.alias("url"),
-        F.when((F.col("kind") == "record") & ~missing, F.decode("block", "UTF-8")).alias("html"),
+        F.when((F.col("kind") == "record") & ~missing, F.make_valid_utf8(F.col("block").cast("string"))).alias("html"),
     )
 
 

@@ -23,7 +23,7 @@ def brute(data):
         try:
             if data[at : at + 3] != O.MAGIC and gap is not None and at and data[at - 1 : at] != b"\n":
                 raise O.Bad("not at a line")
-            end, fields, block = O.parse(src, at)
+            ((end, fields, block),) = O.parse(src, at)
         except O.Bad as e:
             if gap is None:
                 gap = (at, str(e))
@@ -76,6 +76,41 @@ def test_cut_file_and_each_damage_is_logged():
         assert [(x[0], x[1]) for x in got] == [("gap", 0), ("record", len(bad))]
 
 
+def warc(block, *fields, version="WARC/1.0"):
+    return "\r\n".join([version, *fields, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_headers_of_any_length_and_folded_fields():
+    long = warc(b"x", "WARC-Type: response", "X-Long: " + "h" * 100_000, *[f"X-{k}: {k}" for k in range(20_000)])
+    folded = warc(b"y", "WARC-Type:response", "X-Fold: a", "\t b", version="WARC/1.1")
+    for pack in (bytes, O.pack):
+        assert [x[-1] for x in found(pack(long) + pack(folded))] == [b"x", b"y"]
+    *_, fields, _ = next(O.salvage(O.Source(Bytes(folded))))
+    assert fields["x-fold"] == "a b"
+    assert found(b"WARC/1.0\r\nno field\r\n\r\n" + long) == [("gap", 0, 22, "header without end"), ("record", 22, len(long), b"x")]
+    assert found(b"WARC/1.0\r\nX: 1") == [("gap", 0, 14, "header without end")]
+
+
+def test_member_of_several_records():
+    parts = [warc(f"block {k}".encode() * 999 * k, f"WARC-Record-ID: <urn:page:{k}>") for k in range(6)]
+    whole = O.pack(b"".join(parts))
+    blocks = [f"block {k}".encode() * 999 * k for k in range(6)]
+    assert found(whole) == [("record", 0, None, b) for b in blocks]
+    after = O.pack(parts[1])
+    assert found(b"junk" + whole + after) == [("gap", 0, 4, "no version line"), *[("record", 4, None, b) for b in blocks], ("record", 4 + len(whole), len(after), blocks[1])]
+    bad = O.pack(b"".join(parts[:3]) + parts[3].replace(b"Content-Length: 2", b"Content-Length: 3", 1) + b"".join(parts[4:]))
+    assert found(bad + after) == [*[("record", 0, None, b) for b in blocks[:3]], ("gap", 0, len(bad), "wrong content length"), ("record", len(bad), len(after), blocks[1])]
+    assert found(whole[:-3]) == [*[("record", 0, None, b) for b in blocks], ("gap", 0, len(whole) - 3, "member without end")]
+
+
+def test_foreign_archive(spark, tmp_path):
+    latin, stray = warc("d\u00e9j\u00e0 vu".encode("latin-1"), "WARC-Target-URI: http://a/100%"), warc(b"ok \xe6\x97\xa5", "WARC-Target-URI: http://a/%zz+%20b")
+    (tmp_path / "foreign.warc").write_bytes(latin + stray)
+    (tmp_path / "whole.warc.gz").write_bytes(O.pack(latin + stray))
+    got = O.salvaged_pages(O.list_warcs(spark, str(tmp_path))).collect()
+    assert sorted((r["kind"], r["url"], r["html"]) for r in got) == sorted([("record", "http://a/100%", "d\ufffdj\ufffd vu"), ("record", "http://a/%zz+%20b", "ok \u65e5")] * 2)
+
+
 def pages(spark):
     rows = [(k, f"http://h/{k}?q=a b+c%20", f"<p>{k} é日本 {'x' * (k * 37)}") for k in range(300)]
     rows += [(None, None, "no id"), (900, None, None), (901, "u", ""), (901, "u", ""), (902, "line\nbreak", "z" * 3_000_000)]
