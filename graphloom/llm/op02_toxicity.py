@@ -230,30 +230,37 @@ def telling(examples: list[Example], words: np.ndarray) -> np.ndarray:
 def indexed(examples: list[Example], words: np.ndarray, gain: np.ndarray) -> Index:
     none = np.zeros(0, np.int64)
     index = Index(words, gain, none, none, np.zeros(len(words) + 1, np.int64), none, np.zeros(0), np.full(len(words), -1, np.int32), np.zeros((0, 0, BLOCK), np.float32), np.zeros((0, 0), np.float32))
-    rows = [(e, t, w) for e in examples for t, w in [index.vector(e.words, e.counts)] if len(t)]
+    rows, of, parts = [], [], []
+    for e in examples:
+        t, w = index.vector(e.words, e.counts)
+        if len(t):
+            rows.append(e)
+            of.append(t.astype(np.int32))
+            parts.append(w.astype(np.float32))
     n = len(rows)
-    t = np.concatenate([np.zeros(0, np.int64), *(r[1] for r in rows)])
-    w = np.concatenate([np.zeros(0), *(r[2] for r in rows)])
-    e = np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    df = np.bincount(t, minlength=len(words))
-    many = np.flatnonzero(df > max(BLOCK, n // COMMON))
+    e = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in of])
+    t, w = np.concatenate([np.zeros(0, np.int32), *of]), np.concatenate([np.zeros(0, np.float32), *parts])
+    del of, parts
+    many = np.flatnonzero(np.bincount(t, minlength=len(words)) > max(BLOCK, n // COMMON))
     index.common[many] = np.arange(len(many))
     is_common = index.common[t] >= 0
     flat = np.zeros((len(many), n), np.float32)
     flat[index.common[t[is_common]], e[is_common]] = w[is_common]
-    value, axis = np.linalg.eigh(flat.astype(float) @ flat.T) if len(many) else (none, np.zeros((0, 0)))
-    order = alike_order(flat.T.astype(float) @ axis[:, ::-1][:, :8] if len(many) else np.zeros((n, 0)), BLOCK)
-    place = np.empty(n, np.int64)
+    axis = np.linalg.eigh(flat @ flat.T)[1][:, ::-1][:, :8] if len(many) else np.zeros((0, 0), np.float32)
+    order = alike_order(flat.T @ axis, BLOCK)
+    place = np.empty(n, np.int32)
     place[order] = np.arange(n)
     blocks = -(-n // BLOCK)
-    dense = np.zeros((len(many), blocks * BLOCK), np.float32)
-    dense[:, :n] = flat[:, order]
-    index.dense = np.ascontiguousarray(dense.reshape(len(many), blocks, BLOCK).transpose(1, 0, 2))
+    index.dense = np.zeros((blocks, len(many), BLOCK), np.float32)
+    for b in range(blocks):
+        own = flat[:, order[b * BLOCK : (b + 1) * BLOCK]]
+        index.dense[b, :, : own.shape[1]] = own
+    del flat
     index.block_max = np.ascontiguousarray(index.dense.max(2).T)
     t, e, w = t[~is_common], place[e[~is_common]], w[~is_common]
-    by = np.lexsort((e, t))
-    index.first, index.example, index.weight = np.searchsorted(t[by], np.arange(len(words) + 1)), e[by].astype(np.int32), w[by].astype(np.float32)
-    index.ids, index.labels = np.array([rows[k][0].doc_id for k in order], np.int64), np.array([rows[k][0].label for k in order], float)
+    by = np.argsort(t.astype(np.int64) * max(1, n) + e)
+    index.first, index.example, index.weight = np.searchsorted(t[by], np.arange(len(words) + 1)), e[by], w[by]
+    index.ids, index.labels = np.array([rows[k].doc_id for k in order], np.int64), np.array([rows[k].label for k in order], float)
     index.rate = sum(x.label for x in examples) / max(1, len(examples))
     return index
 
@@ -267,7 +274,7 @@ def build(examples: list[Example], distinct: list[int], words: np.ndarray, df: n
     tells = telling(own, words)
     held = own[HOLD - 1 :: HOLD][:HELD]
     rest = [e for k, e in enumerate(own) if k % HOLD != HOLD - 1 or k // HOLD >= HELD]
-    truth, best = np.array([e.label for e in held], float), (np.inf, None)
+    truth, best = np.array([e.label for e in held], float), (np.inf,)
     for other in OTHERS:
         trial = indexed(rest, words, np.where(tells, idf, np.float32(other) * idf))
         votes = np.array([trial.vote(*found) for found in trial.nearest([trial.vector(e.words, e.counts) for e in held])])
@@ -275,9 +282,10 @@ def build(examples: list[Example], distinct: list[int], words: np.ndarray, df: n
         sure = np.clip([trial.calibrated(v) for v in votes], 1e-3, 1 - 1e-3)
         loss = float(-(truth * np.log(sure) + (1 - truth) * np.log(1 - sure)).mean())
         if loss < best[0]:
-            best = loss, trial
-    index = indexed(examples, words, best[1].gain)
-    index.steps, index.levels = best[1].steps, best[1].levels
+            best = loss, trial.gain, trial.steps, trial.levels
+        del trial  # one index at a time
+    index = indexed(examples, words, best[1])
+    index.steps, index.levels = best[2:]
     return index
 
 
@@ -353,7 +361,7 @@ def distinct(fp: np.ndarray) -> list[int]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Index:
     S.ship(docs.sparkSession)
     rows = sample(docs, labels, "toxic", most).mapInArrow(_examples, "doc_id long, label int, fp array<long>, words binary, counts binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["fp"], r["words"]))
+    rows.sort(key=lambda r: (r["doc_id"], r["fp"]))
     rows = [rows[k] for k in np.random.default_rng(SEED).permutation(len(rows))]
     examples = [Example(r["doc_id"], r["label"], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in rows]
     once = distinct(np.array([r["fp"] for r in rows], np.int64).reshape(-1, 4).view(np.uint64))
