@@ -6,7 +6,8 @@ as the library does. Decoding gathers the tokens' bytes through the reversed byt
 its bytes are together, and bytes that never make a character become U+FFFD.
 
 A pre-token never crosses the begin of a white-space run, so a text is cut there; a piece that came before has its ids already, and the new ones of
-a batch go to the library as one text. What is remembered is bounded (REMEMBERED pieces) and only saves work.
+a batch go to the library as one text. What is remembered is bounded (of more than REMEMBERED pieces the older half goes) and only saves work: pieces are told apart by a 64-bit hash, and
+as each row's tokens are turned back into bytes and compared with the text, a row in which two pieces had one hash is noticed and encoded anew as a whole.
 
 The vocabulary file is read by the driver alone (its path is a parameter) and travels to the workers with the code.
 
@@ -83,7 +84,14 @@ class Codec:
         self.pool = np.frombuffer(b"".join(pieces), np.uint8)
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, half: bool = False) -> None:
+        """Forget all pieces, or the older half of them."""
+        if half:
+            cut = int(np.median(self.known_at))
+            keep = self.known_at >= cut
+            self.known, self.known_at, self.known_size = self.known[keep], self.known_at[keep] - cut, self.known_size[keep]
+            self.known_ids = self.known_ids[cut:]
+            return
         self.known, self.known_at, self.known_size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known_ids = np.zeros(0, np.int32)
 
@@ -92,13 +100,28 @@ class Codec:
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows one after another, and where each row's ids begin (one more entry at the end)."""
+        ids, edges = self._encode(data, starts)
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        wrong = np.diff(ends[edges]) != np.diff(starts)
+        if not wrong.any():
+            unlike = np.concatenate([[0], np.cumsum(self.bytes(ids) != data)])
+            wrong = unlike[starts[1:]] != unlike[starts[:-1]]
+        if not wrong.any():
+            return ids, edges
+        rows = np.split(ids, edges[1:-1])  # two pieces of one hash
+        wrong = wrong if (np.diff(ends[edges]) == np.diff(starts)).all() else np.ones(len(rows), bool)
+        for k in np.flatnonzero(wrong):
+            rows[k] = self.ids([data[starts[k] : starts[k + 1]].tobytes().decode()])[0]
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
         begin = cuts(data, starts)
         end = np.append(begin[1:], len(data))
         h, one, which = np.unique(S.word_hashes(data, begin, end), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.forget(half=True)
         there = np.zeros(len(h), bool)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
@@ -139,6 +162,19 @@ class Codec:
         ends = np.cumsum(size)
         return self.pool[np.repeat(self.first[ids] - (ends - size), size) + np.arange(int(size.sum()))]
 
+    def texts(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """The text of each row; edges: where each row's ids begin (one more entry at the end)."""
+        data = self.bytes(ids)
+        size = np.where((ids >= 0) & (ids < len(self.size)), self.size[np.clip(ids, 0, len(self.size) - 1)], 0)
+        at = np.concatenate([[0], np.cumsum(size)])[edges]
+        try:  # rows that end inside a character make no whole text even where all bytes together do
+            data.tobytes().decode()
+            if not len(data) or not ((data[np.minimum(at[:-1], len(data) - 1)] & 0xC0 == 0x80) & (at[:-1] < len(data))).any():
+                return pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+        except UnicodeDecodeError:
+            pass
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
     def decode(self, ids: np.ndarray) -> str:
         return self.bytes(ids).tobytes().decode("utf-8", "replace")
 
@@ -173,7 +209,7 @@ def codec(spec: str) -> Codec:
     return _CODECS[key]
 
 
-def _encoder(spec: str):
+def _encoder(spec: str, back: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec)
         for b in S.slices(batches, "text", 2_000_000):
@@ -181,37 +217,40 @@ def _encoder(spec: str):
             data, starts = S.bytes_of(text)
             ids, edges = own.encode(data, starts)
             begin, end = own.offsets(ids, data, starts, edges)
-            wrong = np.concatenate([[0], np.cumsum(own.bytes(ids) != data)])
-            missing = pa.compute.is_null(text).to_numpy(zero_copy_only=False)
-            at = pa.array(edges.astype(np.int32), mask=np.append(missing, False))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(edges).astype(np.int32)), *(pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, begin, end)), pa.array(wrong[starts[1:]] == wrong[starts[:-1]])],
-                names=["doc_id", "n_tokens", "ids", "starts", "ends", "round_trip"],
-            )
+            missing = pa.compute.is_null(text)
+            decoded = pa.compute.if_else(missing, pa.scalar(None, pa.string()), own.texts(ids, edges))
+            same = pa.compute.fill_null(pa.compute.equal(decoded, text.cast(pa.string())), True)
+            at = pa.array(edges.astype(np.int32), mask=np.append(missing.to_numpy(zero_copy_only=False), False))
+            columns = [b.column(0), pa.array(np.diff(edges).astype(np.int32)), *(pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, begin, end)), same]
+            yield pa.RecordBatch.from_arrays([*columns, decoded] if back else columns, names=["doc_id", "n_tokens", "ids", "starts", "ends", "round_trip", *(["decoded"] if back else [])])
 
     return encode
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row for each document: doc_id, n_tokens, ids, starts and ends (characters), round_trip (decoding gave the text's bytes back)."""
+def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, back: bool = False) -> DataFrame:
+    """One row for each document: doc_id, n_tokens, ids, starts and ends (characters), round_trip (the ids decode to the text), and with `back` also that decoded text."""
     S.ship(docs.sparkSession)
     skinny = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return skinny.mapInArrow(_encoder(Path(vocabulary).read_text()), SCHEMA)
+    return skinny.mapInArrow(_encoder(Path(vocabulary).read_text(), back), SCHEMA + ", decoded string" * back)
 
 
 def decoded(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and text from doc_id and ids; null ids give a null text."""
+    """doc_id and text from doc_id and ids; null ids give a null text, null entries nothing."""
     S.ship(tokens.sparkSession)
     spec = Path(vocabulary).read_text()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec)
         for b in batches:
-            rows = [None if x is None else own.decode(np.array([i for i in x if i is not None], np.int64)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.string())], names=["doc_id", "text"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                lists = part.column(1)
+                ids = pa.compute.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                edges = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.string()), own.texts(ids, edges))], names=["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(decode, "doc_id long, text string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(S.table(spark, sf_dir, "documents"))
+    return encoded(S.table(spark, sf_dir, "documents"), back=True)

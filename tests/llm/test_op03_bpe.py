@@ -63,8 +63,45 @@ def test_special_tokens_are_text(codec):
     assert 50256 not in ids and codec.decode(ids) == "<|endoftext|>" and codec.decode(np.array([50256])) == "<|endoftext|>"
 
 
+def test_one_hash_for_two_pieces_is_noticed(codec, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["an apple or a grape", "nothing shared", "grape apple", "", "le le la la"]
+    data, starts = O.S.bytes_of(pa.array(texts))
+    want = [codec.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for fold in (3, 2, 1):  # with `fold` hashes in all, pieces of one length and of several are mixed up
+        monkeypatch.setattr(O.S, "word_hashes", lambda d, b, e, fold=fold: ((e - b) % fold).astype(np.uint64))
+        codec.forget()
+        ids, edges = codec.encode(data, starts)
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == want
+    monkeypatch.undo()
+    codec.forget()
+
+
+def test_the_older_half_is_forgotten(codec, monkeypatch):
+    import pyarrow as pa
+
+    codec.forget()
+    monkeypatch.setattr(O, "REMEMBERED", 50)
+    for k in range(0, 400, 20):
+        texts = [f"word{j} and w{j * 7} é{j % 30}" for j in range(k, k + 20)]
+        ids, edges = codec.encode(*O.S.bytes_of(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [codec.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(codec.known) < 150
+    codec.forget()
+
+
+def test_texts_of_rows_that_split_characters(codec):
+    ids = codec.ids(["x\U0001f9ec"])[0]
+    for cut in range(len(ids) + 1):
+        edges = np.array([0, cut, len(ids), len(ids)])
+        assert codec.texts(ids, edges).to_pylist() == [codec.decode(ids[:cut]), codec.decode(ids[cut:]), ""]
+    assert codec.texts(np.array([-1, 10**6]), np.array([0, 1, 2])).to_pylist() == ["", ""]
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
+    assert sorted(map(repr, O.encoded(docs, back=True).select("doc_id", "decoded").collect())) == sorted(map(repr, docs.selectExpr("doc_id", "text as decoded").collect()))
     out = O.encoded(docs)
     rows = out.collect()
     assert len(rows) == docs.count() and all(r["round_trip"] for r in rows)
