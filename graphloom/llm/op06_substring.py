@@ -6,13 +6,19 @@ Suffixes: not every word begins one. Of every WINDOW = LEAST - PREFIX + 1 consec
 several) begins a suffix; each run of LEAST words holds at least one of those, at the same place in all its occurrences, so no passage is missed.
 Suffixes whose first PREFIX words occur once are dropped; the others are sent, with the words around them, to the group of their prefix.
 
+Skew: prefixes are counted after each task has added up its own, and meet their suffixes by a join that adaptive execution splits where a prefix is in a third of all texts; equal
+texts are told by their hash, and count as one.
+
 Groups: a group of up to MEMORY suffixes is one subtree: suffixes sorted by their words, internal nodes as intervals of the longest-common-prefix array.
 A node whose depth, with the words its leaves share to the left, comes to LEAST or more is a deep node, and a maximal repeat lies around it. A larger
-group gets longer prefixes: the LEAST-word windows whose suffix it is, each of which is a deep node as soon as it holds two suffixes. Both ways cover
+group gets longer prefixes: the LEAST-word windows whose suffix it is, each of which is a deep node as soon as it holds two suffixes; they are spread evenly and counted
+in two steps, so a passage in any number of texts is no one task's. Both ways cover
 exactly the words of the repeated LEAST-word windows; spans that overlap or touch are one.
 
 Texts that are equal as a whole are one text for the tree, and are repeats from end to end.
 
+Texts of any length are read whole, a text at a time.
+
 Defined results: null texts and texts of fewer than LEAST words have no passage; rows with a null doc_id take no part (nothing names them); repeated rows are
 copies of each other; white space between words doesn't count; an empty table gives an empty result; other columns are not looked at.
 """
@@ -23,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -217,28 +222,10 @@ def _trees(least: int, prefix: int, together: int = 50_000):
         if ok.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(th[ok]), pa.array((pos - left)[ok].astype(np.int32)), pa.array((pos + prefix + right)[ok].astype(np.int32)), pa.array(leaves[ok]), pa.array(ids[partner[ok]])], names=["id", "th", "lo", "hi", "leaves", "partner"])
 
-    def windows(b: pa.RecordBatch, held: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
-        """Rows of windows that come twice or more; held: the last window row before b, and whether it was given out."""
-        both = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0] if held is not None else b
-        key, ids = both.column(0).to_numpy(), both.column(1).to_numpy()
-        same = key[1:] == key[:-1]
-        last, following = np.append(False, same), np.append(same, False)
-        twice = last | following
-        if twice.any():
-            other = np.where(last, np.append(0, ids[:-1]), np.append(ids[1:], 0))[twice]
-            pos = both.column(3).to_numpy()[twice]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[twice]), both.column(2).filter(pa.array(twice)), pa.array(pos), pa.array((pos + least).astype(np.int32)), both.column(7).filter(pa.array(twice)), pa.array(other)], names=["id", "th", "lo", "hi", "leaves", "partner"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by key, as the window that counts the rows of a key leaves them: whole groups are gathered until there are enough; a group that may go on in the next batch waits for it."""
+        """Rows come ordered by key: whole groups are gathered until there are enough; a group that may go on in the next batch waits for it."""
         rest: list[pa.RecordBatch] = []
-        held: pa.RecordBatch | None = None
         for b in batches:
-            hot = b.column(6).is_null()
-            windowed, b = b.filter(hot), b.filter(pa.compute.invert(hot))
-            if windowed.num_rows:
-                yield from windows(windowed, held)
-                held = windowed.slice(windowed.num_rows - 1)
             for k in range(0, b.num_rows, together):
                 part = b.slice(k, together)
                 rest.append(part)
@@ -263,19 +250,28 @@ def repeats(docs: DataFrame, least: int = LEAST, prefix: int = PREFIX, memory: i
     that share a deep node of it: the most places, equal texts once, that one of its runs of `least` words has; or whole copies of the text), partner (a doc_id that has the same words; the text's own where it repeats itself)."""
     S.ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias(f"{S.OWN}text")).where(f"{S.OWN}text is not null and id is not null")
-    suffixes = own.mapInArrow(_first(least, prefix), "h long, id long, th long, pos int").repartition("h")
-    once = suffixes.groupBy("h", "th", "pos").agg(F.min("id").alias("id"))  # equal texts are one
-    counted = once.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
-    places = counted.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "h", (F.col("n") > memory).alias("hot"))).alias("places"))
+    suffixes = S.written(own.mapInArrow(_first(least, prefix), "h long, id long, th long, pos int"), "suffixes")
+    place = F.xxhash64("th", "pos")
+    repeated = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h", "n")
+    once = suffixes.join(repeated, "h").groupBy("h", "th", "pos").agg(F.min("id").alias("id"), F.max("n").alias("n"))  # equal texts are one
+    places = S.written(once.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "h", (F.col("n") > memory).alias("hot"))).alias("places")), "suffix-places")
     texts = own.dropDuplicates(["id", "th"]) if _repeated_ids(own) else own
     around = texts.join(places.hint("shuffle_hash"), ["id", "th"]).select("id", "th", f"{S.OWN}text", "places").mapInArrow(_around(least, prefix), "h long, id long, th long, pos int, nl int, nr int, words binary")
-    spans = around.repartition("h").withColumn("n", F.count_if(F.isnull("words")).over(Window.partitionBy("h"))).mapInArrow(_trees(least, prefix), SPANS)
+    if places.where(F.exists("places", lambda p: p["hot"])).isEmpty():
+        spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(_trees(least, prefix), SPANS)
+    else:
+        around = S.written(around, "suffixes-around")
+        trees = around.where("words is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_trees(least, prefix), SPANS)
+        windows = around.where("words is null").select("h", "id", "th", "pos")
+        twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("leaves"), F.min("id").alias("low"), F.max("id").alias("high")).where("leaves > 1")
+        other = F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+        spans = trees.union(windows.join(twice, "h").select("id", "th", F.col("pos").alias("lo"), (F.col("pos") + least).alias("hi"), "leaves", other.alias("partner")))
     by = Window.partitionBy("id", "th").orderBy("lo", "hi")
     broken = spans.withColumn("begins", F.when(F.col("lo") <= F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("island", F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     merged = broken.groupBy("id", "th", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("leaves").alias("leaves"), F.coalesce(F.min(F.when(F.col("partner") != F.col("id"), F.col("partner"))), F.min("partner")).alias("partner"))
-    sized = own.mapInArrow(_counts(least), "id long, th long, n int")
-    alike = Window.partitionBy("th")
-    copies = sized.select("id", "th", "n", F.count(F.lit(1)).over(alike).alias("leaves"), F.min("id").over(alike).alias("low"), F.max("id").over(alike).alias("high")).where("leaves > 1")
+    sized = S.written(own.mapInArrow(_counts(least), "id long, th long, n int"), "text-words")
+    alike = sized.groupBy("th").agg(F.count(F.lit(1)).alias("leaves"), F.min("id").alias("low"), F.max("id").alias("high")).where("leaves > 1")
+    copies = sized.join(alike, "th")
     whole = copies.select("id", "th", F.lit(0).alias("lo"), F.col("n").alias("hi"), "leaves", F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("partner"))
     found = merged.join(copies.select("id", "th").distinct(), ["id", "th"], "left_anti").select("id", "th", "lo", "hi", "leaves", "partner").union(whole)
     return found.select(F.col("id").alias("doc_id"), F.col("lo").alias("start_word"), F.col("hi").alias("end_word"), (F.col("hi") - F.col("lo")).alias("n_words"), "leaves", "partner")
