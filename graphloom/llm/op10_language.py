@@ -4,12 +4,13 @@ Codewords: up to 5 languages get the exhaustive code (2^(L-1) - 1 bits); more ge
 Each bit has a logistic classifier over the shares of hashed byte bigrams and trigrams of the lower-cased text; as it is linear,
 a text's margin is a mean of table entries, one look-up a position, over the whole text.
 
-Fit, on a bounded sample: at most PER_LANGUAGE documents of each `lang`, the least by a seeded hash of doc_id; three quarters train, the rest
+Fit, on a bounded sample: at most PER_LANGUAGE documents of each `lang`, fewer where there are so many languages that they would be more than SAMPLE in all (but LEAST), the least by a
+seeded hash of doc_id; three quarters train, the rest
 calibrates: a bit weighs the log-odds of its held-out accuracy, and GAP is the largest difference of losses (LEAST_GAP at least) below which
 held-out decisions are right at a rate of no more than DOUBTFUL. Decoding is loss-weighted: the codeword with the least weighted logistic loss of the margins is nearest. A text
 is ambiguous where the second nearest is closer than GAP.
 
-Defined results: null and empty texts, and texts of fewer than 3 bytes, have no language and are ambiguous; a null doc_id stays; repeated rows are scored each; null `lang`
+Defined results: null and empty texts, and texts of fewer than 3 bytes, have no language and are ambiguous; a null doc_id stays; of languages that are equally near the first by name is given, and such a text is ambiguous; texts of any length are read whole; repeated rows are scored each; null `lang`
 values train nothing; with fewer than two languages of LEAST documents nothing is decided; an empty table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _shared as S
 
-PER_LANGUAGE, LEAST, SEED, TRIES, DOUBTFUL, LEAST_GAP, STEPS, RATE, DECAY = 700, 5, 29, 200, 0.75, 0.25, 150, 0.05, 1e-4
+PER_LANGUAGE, SAMPLE, LEAST, SEED, TRIES, DOUBTFUL, LEAST_GAP, STEPS, RATE, DECAY = 700, 10_000, 5, 29, 200, 0.75, 0.25, 150, 0.05, 1e-4
 WIDTH = 4096  # buckets of bigrams, and as many of trigrams
 
 
@@ -144,17 +145,26 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, b.num_rows, 256):
             part = b.slice(k, 256)
             x = shares(*S.bytes_of(pc.utf8_lower(part.column(2))))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+            at = [np.flatnonzero(r).astype(np.uint16) for r in x]  # most n-grams don't occur in a text
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a.tobytes() + r[a].tobytes() for a, r in zip(at, x, strict=True)], pa.binary())], names=["doc_id", "lang", "x"])
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), 2 * WIDTH), np.float32)
+    for k, packed in enumerate(rows):
+        n = len(packed) // 6
+        out[k, np.frombuffer(packed, np.uint16, n)] = np.frombuffer(packed, np.float32, n, 2 * n)
+    return out
 
 
 def sample(docs: DataFrame, most: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, lang, text of at most `most` documents of each language; first the ids alone, then their texts."""
     own = docs.select(F.col("doc_id").cast("long").alias(f"{S.OWN}id"), F.col("lang").cast("string").alias(f"{S.OWN}l"))
     by = Window.partitionBy(f"{S.OWN}l").orderBy(F.xxhash64(f"{S.OWN}id", F.lit(SEED)), f"{S.OWN}id")
-    few = own.where(f"{S.OWN}id is not null and {S.OWN}l is not null").distinct().withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most).drop("rn")
+    few = own.where(f"{S.OWN}id is not null and {S.OWN}l is not null").distinct().withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most)
     few = S.written(few, "language-sample")
-    if few.count() > 500_000:  # hundreds of languages: too many to broadcast
-        return docs.select(F.col("doc_id").cast("long").alias(f"{S.OWN}id"), F.col("lang").alias(f"{S.OWN}l"), "text").join(few.hint("shuffle_hash"), [f"{S.OWN}id", f"{S.OWN}l"]).toDF("doc_id", "lang", "text")
+    each = max(LEAST, SAMPLE // max(1, few.select(f"{S.OWN}l").distinct().count()))
+    few = few.where(F.col("rn") <= each).drop("rn")  # SAMPLE rows, or LEAST a language: a bounded table of names and ids
     return docs.select(F.col("doc_id").cast("long").alias(f"{S.OWN}id"), F.col("lang").alias(f"{S.OWN}l"), "text").join(F.broadcast(few), [f"{S.OWN}id", f"{S.OWN}l"]).toDF("doc_id", "lang", "text")
 
 
@@ -167,7 +177,7 @@ def fit(docs: DataFrame, most: int = PER_LANGUAGE) -> Decoder | None:
     if len(languages) < 2:
         return None
     rows = [r for r in rows if r[1] in languages]
-    return train(np.array([np.frombuffer(r[2], np.float32) for r in rows]), np.array([languages.index(r[1]) for r in rows]), languages)
+    return train(_unpacked([r[2] for r in rows]), np.array([languages.index(r[1]) for r in rows]), languages)
 
 
 def language(docs: DataFrame) -> DataFrame:
