@@ -1,6 +1,9 @@
 """Knowledge-graph tables: entities(id, label, type, description, original_text, properties, metadata, seq) and triplets(subject_id, predicate, object_id, properties, metadata, seq).
 
-Order decides merges and ties, so every table carries seq.
+Order decides merges and ties, so every table carries seq, of any type that can be compared.
+
+Defined results: null labels, texts and maps count as empty; a null id is an id of its own when merging and no end of an edge; repeated rows merge into one; rows of equal seq come in any order;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.lineage import written
 
 
 @dataclass
@@ -49,14 +53,21 @@ def merge_entities(entities: DataFrame) -> DataFrame:
 
 
 def dedup_triplets(triplets: DataFrame) -> DataFrame:
-    """The first of each (subject_id, predicate, object_id), with its payload."""
-    by = Window.partitionBy("subject_id", "predicate", "object_id").orderBy("seq")
-    return triplets.withColumn("rn", F.row_number().over(by)).where("rn = 1").drop("rn")
+    """The first of each (subject_id, predicate, object_id), with its payload; each task keeps its first before anything is shuffled."""
+    keys = ["subject_id", "predicate", "object_id"]
+    first = triplets.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in triplets.columns if c not in keys]), "seq").alias("r"))
+    return first.select(*keys, "r.*").select(*triplets.columns)
+
 
+def merge_graphs(*graphs: KnowledgeGraph, ordered: bool = False) -> KnowledgeGraph:
+    """Graphs one after another; seq becomes (graph, seq), as an array. ordered: seq already tells the order over all of them, and stays."""
+
+    def order(df: DataFrame, k: int) -> DataFrame:
+        if ordered:
+            return df
+        own = F.col("seq") if df.schema["seq"].dataType.typeName() == "array" else F.array(F.col("seq").cast("long"))
+        return df.withColumn("seq", F.concat(F.array(F.lit(k).cast("long")), own))
 
-def merge_graphs(*graphs: KnowledgeGraph) -> KnowledgeGraph:
-    """Graphs one after another; seq becomes (graph, seq)."""
-    order = lambda df, k: df.withColumn("seq", F.lit(k).cast("long") * F.lit(1 << 40) + F.col("seq"))
     entities, triplets = (order(getattr(graphs[0], x), 0) for x in ("entities", "triplets"))
     for k, g in enumerate(graphs[1:], 1):
         entities, triplets = entities.unionByName(order(g.entities, k)), triplets.unionByName(order(g.triplets, k))
@@ -116,22 +127,40 @@ def summary_of_last(entities: DataFrame, most: int = 100) -> DataFrame:
     return entities.orderBy(F.desc("seq")).limit(most).select("seq", line.alias("line")).orderBy("seq")
 
 
-def turtle_lines(graph: KnowledgeGraph, strict: bool = False) -> DataFrame:
-    """(part, seq, k, value): the lines of a Turtle file; strict escapes what isn't a valid local name or string."""
+def turtle_lines(graph: KnowledgeGraph, strict: bool = False, language: str = "vi") -> DataFrame:
+    """(part, seq, k, value): the lines of a Turtle file, three and an empty one an entity, one a triplet. A null type or description is an empty one; strict escapes what isn't a valid local name or string."""
     name = (lambda c: F.replace(c, F.lit(" "), F.lit("_"))) if not strict else (lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}_]", "_"))
     kind = (lambda c: c) if not strict else name
     quoted = (lambda c: c) if not strict else (lambda c: F.regexp_replace(c, r'(["\\])', r"\\$1"))
-    c = F.col
+    c, known = F.col, lambda x: F.coalesce(F.col(x), F.lit(""))
     of_entity = F.array(
-        F.concat(F.lit(":"), name(c("id")), F.lit(" a :"), kind(c("type")), F.lit(" ;")),
-        F.concat(F.lit('    :label "'), quoted(c("id")), F.lit('" ;')),
-        F.concat(F.lit('    :description "'), quoted(c("description")), F.lit('" .')),
+        F.concat(F.lit(":"), name(c("id")), F.lit(" a :"), kind(known("type")), F.lit(" ;")),
+        F.concat(F.lit('  :label "'), quoted(c("id")), F.lit(f'"@{language} ;')),
+        F.concat(F.lit('  :description "'), quoted(known("description")), F.lit(f'"@{language} .')),
+        F.lit(""),
     )
-    e = graph.entities.select(F.lit(1).alias("part"), "seq", F.posexplode(of_entity).alias("k", "value"))
-    t = graph.triplets.select(F.lit(2).alias("part"), "seq", F.lit(0).alias("k"), F.concat(F.lit(":"), name(c("subject_id")), F.lit(" :"), name(c("predicate")), F.lit(" :"), name(c("object_id")), F.lit(" .")).alias("value"))
+    e = graph.entities.where("id is not null").select(F.lit(1).alias("part"), "seq", F.posexplode(of_entity).alias("k", "value"))
+    t = graph.triplets.where("subject_id is not null and predicate is not null and object_id is not null").select(F.lit(2).alias("part"), "seq", F.lit(0).alias("k"), F.concat(F.lit(":"), name(c("subject_id")), F.lit(" :"), name(c("predicate")), F.lit(" :"), name(c("object_id")), F.lit(" .")).alias("value"))
     return e.unionByName(t)
 
 
+def retrieval_chunks(graph: KnowledgeGraph, index: DataFrame | None = None) -> DataFrame:
+    """id (from 0: entities by seq, then relations by seq), type, text, entity_id, subject_id, predicate, object_id."""
+    e = entity_texts(graph.entities).join(graph.entities.select(F.col("id").alias("entity_id"), "seq"), "entity_id")
+    t = graph.triplets
+    r = relation_texts(t, entity_index(graph.entities) if index is None else index).join(t.select("subject_id", "predicate", "object_id", "seq"), ["subject_id", "predicate", "object_id"])
+    both = e.select(F.lit(0).alias("part"), "seq", F.lit("entity").alias("type"), "text", "entity_id").unionByName(r.select(F.lit(1).alias("part"), "seq", F.lit("relation").alias("type"), "text", "subject_id", "predicate", "object_id"), allowMissingColumns=True)
+    return numbered(both, "part", "seq", "subject_id", "object_id", "predicate", "entity_id").drop("part", "seq")
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with id, from 0 in this order: a distributed sort, then each partition counts on from those before it. Written in between, so that both steps see one order."""
+    ordered = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_p", F.shiftright("_at", 33))
+    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
+    return ordered.join(before, "_p").withColumn("id", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_before")
+
+
 def node_properties(keys: Column) -> Column:
     """A property map with sanitised keys; empty keys go, of keys that become alike the last wins."""
     pairs = F.filter(F.transform(F.map_entries(keys), lambda e: F.struct(T.property_key(e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"] != "")

@@ -1,4 +1,8 @@
-"""Retrieval: lexical scores by contained words, exact vector top-k, two searches merged."""
+"""Retrieval: lexical scores by contained words, exact vector top-k, two searches merged.
+
+Defined results: null texts count as empty; questions without a word of more than 2 characters, and null questions, find nothing; null vectors, those with null entries and, beside queries, those of another
+length are left out, as are null queries; a zero vector has inner products of 0; repeated rows are hits each; ties go to the lesser id; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -12,19 +16,21 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.shipping import ship
 
-#: Most questions (and query vectors) that travel with the code; beyond it they are worked off in as many passes.
+#: Most questions that travel with the code; beyond it they are worked off in as many passes.
 TOGETHER = 5000
+#: Query vectors, and vectors, of a block.
+ASKED, BLOCK = 512, 4096
 
 
 def lexical_topk(questions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
     """(q_id, id, score, rank): score = 2 for each word of more than 2 characters that the description contains, 1 for the text; repeated words count again.
 
     questions: q_id, question; entities: id, description, original_text. One pass over the entities: an automaton of all words of the questions finds those
-    that a text contains, a word x question matrix gives all its scores, and each task keeps its k best a question, so only these are shuffled.
+    that a text contains, lists of the questions of each word give all its scores, and each task keeps its k best a question, so only these are shuffled.
     """
     spark = entities.sparkSession
     ship(spark)
-    asked = questions.select("q_id", F.filter(T.tokens(F.lower("question")), lambda w: F.length(w) > 2).alias("w")).orderBy("q_id").collect()
+    asked = questions.select("q_id", F.filter(T.tokens(F.lower(F.coalesce("question", F.lit("")))), lambda w: F.length(w) > 2).alias("w")).orderBy("q_id").collect()
     low = entities.select("id", F.lower(F.coalesce("description", F.lit(""))).alias("d"), F.lower(F.coalesce("original_text", F.lit(""))).alias("o"))
     parts = [low.mapInArrow(_scores([(r["q_id"], r["w"]) for r in asked[a : a + TOGETHER]], k), "q_id long, id long, score int") for a in range(0, len(asked), TOGETHER)]
     if not parts:
@@ -40,23 +46,32 @@ def _scores(asked: list[tuple[int, list[str]]], k: int):
     vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in asked for w in ws}))}
     ids = np.array([q for q, _ in asked], np.int64)
     pairs = np.array([(vocabulary[w], n) for n, (_, ws) in enumerate(asked) for w in ws], np.int64).reshape(-1, 2)
+    pairs, times = np.unique(pairs, axis=0, return_counts=True)
+    first = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        times = np.zeros((len(vocabulary), len(ids)), np.int32)
-        np.add.at(times, (pairs[:, 0], pairs[:, 1]), 1)
         machine = ahocorasick.Automaton()
         for w, n in vocabulary.items():
             machine.add_word(w, n)
         if vocabulary:
             machine.make_automaton()
+
+        def scores(text: str) -> np.ndarray:
+            """For each question its words that the text contains, with repetition: from the lists of these words alone."""
+            found = np.fromiter({n for _, n in machine.iter(text)}, np.int64)
+            size = first[found + 1] - first[found]
+            ends = np.cumsum(size)
+            at = np.repeat(first[found] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+            return np.bincount(pairs[at, 1], times[at], len(ids)).astype(np.int64)
+
         best = [np.zeros((0, 3), np.int64)]
         for b in batches:
             for i, d, o in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if not vocabulary:
                     continue
-                score = 2 * times[list({n for _, n in machine.iter(d)})].sum(0) + times[list({n for _, n in machine.iter(o)})].sum(0)
+                score = 2 * scores(d) + scores(o) if d != o else 3 * scores(d)
                 hit = np.flatnonzero(score)
                 best.append(np.stack([hit, np.full(len(hit), i), score[hit]], 1))
             best = [_few(np.concatenate(best), k)]
@@ -81,55 +96,84 @@ def lexical_context(top: DataFrame, entities: DataFrame, questions: DataFrame, m
 
 
 def expanded(questions: DataFrame, labels: DataFrame) -> DataFrame:
-    """(q_id, query): the question, a space and the labels that it contains (case aside), in order of seq. labels: label, seq."""
-    near = questions.join(labels, F.contains(F.lower("question"), F.lower("label")), "left")
-    joined = near.groupBy("q_id", "question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("seq", "label")))), lambda x: x["label"]), " ").alias("l"))
-    return joined.select("q_id", F.concat("question", F.lit(" "), "l").alias("query"))
+    """(q_id, query): the question, a space and the labels that it contains (case aside), in order of seq. labels: label, seq.
+
+    A question contains a label only if it contains the label's first 3 characters (all, if it has fewer), so the two meet by an equi-join on those, and are verified then.
+    """
+    low = F.lower(F.coalesce("question", F.lit("")))
+    places = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda p: F.substring(low, p, n))
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), places(1), places(2), places(3)))  # shorter ones at the end do no harm
+    asked = questions.select("q_id", "question", low.alias("low"), F.explode(keys).alias("key"))
+    named = labels.where("label is not null").select("label", "seq", F.substring(F.lower("label"), 1, 3).alias("key"))
+    near = asked.join(named, "key").where(F.contains("low", F.lower("label")))
+    joined = near.groupBy("q_id", "question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda x: x["label"]), " ").alias("l"))
+    return questions.select("q_id", "question").distinct().join(joined.select("q_id", "question", "l"), ["q_id", "question"], "left").select("q_id", F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("l", F.lit(""))).alias("query"))
+
+
+def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """(ids, vectors) of `size` rows each, packed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, size):
+                part = b.slice(k, size)
+                x = _unit(_matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], names=["ids", "x", "dim"])
+
+    v = F.col("v").cast("array<double>")
+    usable = rows.select(F.col(name).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim")).where(F.col("id").isNotNull() & (F.col("dim") > 0) & ~F.exists("v", lambda e: e.isNull() | F.isnan(e)))
+    return usable.select("id", "v").mapInArrow(_by_length(pack), "ids binary, x binary, dim int")
+
+
+def _by_length(pack):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.diff(b.column(1).offsets.to_numpy()) if b.num_rows else np.zeros(0, int)
+            for d in np.unique(n):
+                yield from pack([pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(n == d)), b.column(1).filter(pa.array(n == d))], names=["id", "v"])])
+
+    return run
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(q_id, id, score, rank) by inner product of unit vectors, exact. queries: q_id, v; vectors: id, v. Each task keeps its k best."""
-    spark = vectors.sparkSession
-    ship(spark)
-    asked = queries.select(F.col("q_id").cast("long").alias("q_id"), "v").orderBy("q_id").toArrow()
-    qid, q = asked.column("q_id").to_numpy(), _unit(_matrix(asked.column("v").combine_chunks()))
-    low = vectors.select(F.col("id").cast("long"), "v")
-    parts = [low.mapInArrow(_nearest(qid[a : a + TOGETHER], q[a : a + TOGETHER], k), "q_id long, id long, score double") for a in range(0, len(qid), TOGETHER)]
-    if not parts:
-        return spark.createDataFrame([], "q_id long, id long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    """(q_id, id, score, rank) by inner product of unit vectors, exact. queries: q_id, v; vectors: id, v.
+
+    Blocks of queries meet blocks of vectors of their length, a matrix product each; a task keeps the k best of each query, and only these are shuffled. Scores are equal if their first 12 digits are.
+    """
+    ship(vectors.sparkSession)
+    asked = _blocks(queries, "q_id", ASKED).toDF("qids", "q", "qdim")
+    met = asked.join(_blocks(vectors, "id", BLOCK), F.col("qdim") == F.col("dim")).select("qids", "q", "ids", "x", "dim")
     by = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return met.mapInArrow(_nearest(k), "q_id long, id long, score double").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
 
+def _nearest(k: int, most: int = 200_000):
+    """The k nearest of a task's vectors for each query; what is kept is cut down as soon as it is more than `most` rows."""
 
-def _nearest(qid: np.ndarray, q: np.ndarray, k: int, rows: int = 512, columns: int = 4096):
-    """The k nearest of a task's vectors for each query, in blocks of rows x columns scores, so memory doesn't grow with the input."""
+    def best(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, i, v = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((i, -v, q))
+        q, i, v = q[order], i[order], v[order]
+        few = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[few], i[few], v[few]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = [slice(a, a + rows) for a in range(0, len(qid), rows)]
-        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(cuts)
-        floor = np.full(len(qid), -np.inf)
+        kept, n, least = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0, most
         for b in batches:
-            ids, x = b.column(0).to_numpy(), _unit(_matrix(b.column(1)))
-            for at in range(0, len(ids), columns):
-                some, turned = ids[at : at + columns], x[at : at + columns].T
-                for n, c in enumerate(cuts):
-                    score = np.round(q[c] @ turned, 6)
-                    least = floor[c]
-                    if not np.isfinite(least).all() and score.shape[1] > k:
-                        least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
-                    r, j = np.nonzero(score >= least[:, None])
-                    if len(r):
-                        r, i, v = (np.concatenate(pair) for pair in zip(kept[n], (r, some[j], score[r, j]), strict=True))
-                        order = np.lexsort((i, -v, r))
-                        r, i, v = r[order], i[order], v[order]
-                        place = np.arange(len(r)) - np.searchsorted(r, r)
-                        floor[c][r[place == k - 1]] = v[place == k - 1]
-                        kept[n] = r[place < k], i[place < k], v[place < k]
-        for c, (r, i, v) in zip(cuts, kept, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(qid[c][r]), pa.array(i), pa.array(v)], names=["q_id", "id", "score"])
+            for r in range(b.num_rows):
+                qids, q, ids, x, dim = (b.column(c)[r].as_py() for c in range(5))
+                qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
+                score = np.round(np.frombuffer(q).reshape(-1, dim) @ np.frombuffer(x).reshape(-1, dim).T, 12)
+                cut = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                at, j = np.nonzero(score >= cut[:, None])
+                kept.append((qids[at], ids[j], score[at, j]))
+                n += len(at)
+                if n > least:
+                    kept = [best(kept)]
+                    n = len(kept[0][0])
+                    least = max(most, 2 * n)
+        q, i, v = best(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(v)], names=["q_id", "id", "score"])
 
     return run
 

@@ -27,8 +27,8 @@ def graph_json(graph: KnowledgeGraph, path: str) -> None:
 
 def turtle(graph: KnowledgeGraph, path: str, strict: bool = False) -> None:
     lines = turtle_lines(graph, strict)
-    head = lines.sparkSession.createDataFrame([(0, 0, 0, "@prefix : <http://example.org/kg#> ."), (0, 1, 0, "")], "part int, seq long, k int, value string")
-    head.unionByName(lines).orderBy("part", "seq", "k").select("value").coalesce(1).write.mode("overwrite").text(path)
+    head = lines.sparkSession.createDataFrame([(0, 0, "@prefix : <http://example.org/kg#> ."), (0, 1, "")], "part int, k int, value string")
+    head.withColumn("seq", F.lit(None).cast(lines.schema["seq"].dataType)).unionByName(lines).orderBy("part", "seq", "k").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def property_graph(graph: KnowledgeGraph, folder: str, raw_types: bool = False) -> None:
@@ -44,10 +44,32 @@ def property_graph(graph: KnowledgeGraph, folder: str, raw_types: bool = False)
     edges.select("subject_id", "object_id", kind.alias("rel_type"), F.coalesce("properties", empty).alias("properties"), F.to_json("metadata").alias("metadata")).write.mode("overwrite").parquet(f"{folder}/edges")
 
 
+def questions_json(multiple_choice: DataFrame, true_false: DataFrame, path: str) -> None:
+    """A converted question set as one JSON document; both tables: question, options, and the columns `order` sorts by."""
+
+    def listed(df: DataFrame, name: str, *order: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct("question", "options")).alias("j"))))
+        return df.agg(F.array_join(F.transform(rows, lambda r: r["j"]), ",\n").alias(name))
+
+    both = listed(multiple_choice, "m", "id").crossJoin(listed(true_false, "t", "id", "k"))
+    both.select(F.concat(F.lit('{"multiple_choice": ['), "m", F.lit('],\n"true_false": ['), "t", F.lit("]}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def summary(stats: DataFrame) -> str:
+    """The figures of an evaluation as a few lines of text; stats has a row a question type and one over all."""
+    rows = sorted((r.asDict() for r in stats.collect()), key=lambda r: (r["q_type"] == "overall", r["q_type"]))
+    return "\n".join(f"{r['q_type']}: {r['correct']} of {r['total']} right ({r['accuracy']:.1f} %), {r['wrong']} wrong, {r['no_prediction']} without an answer" for r in rows)
+
+
 def html_report(cards: DataFrame, stats: DataFrame, path: str) -> None:
-    """One page: the figures, then a card a question, in order."""
-    rows = "".join(f"<tr><td>{r['q_type']}</td><td>{r['correct']} / {r['total']}</td><td>{r['accuracy']:.1f} %</td></tr>" for r in stats.orderBy("q_type").collect())
-    head = F.lit(f"<!DOCTYPE html><meta charset='utf-8'><title>Report</title><table>{rows}</table>")
+    """One page: the figures, then a card a question, in order. Cards may be `evaluate.cards` or `evaluate.full_cards`."""
+    rows = "".join(
+        f"<tr><td>{r['q_type']}</td><td>{r['correct']} / {r['total']}</td><td>{r['accuracy']:.1f} %</td><td>{r['no_prediction']}</td><td>{r['prediction_rate']:.1f} %</td></tr>"
+        for r in sorted(stats.collect(), key=lambda r: (r["q_type"] == "overall", r["q_type"]))  # a few rows
+    )
+    style = "body{font-family:sans-serif}.card{border-left:4px solid #999;margin:8px;padding:4px 8px}.correct{border-color:#2a2}.wrong{border-color:#c22}.badge{border-radius:3px;padding:0 4px;background:#eee}.answer{font-weight:bold}"
+    names = "".join(f"<th>{n}</th>" for n in ("type", "right", "accuracy", "no answer", "answered"))
+    head = F.lit(f"<!DOCTYPE html><meta charset='utf-8'><title>Report</title><style>{style}</style><table><tr>{names}</tr>{rows}</table>")
     spark = cards.sparkSession
     first = spark.range(1).select(F.lit("").alias("q_type"), F.lit(0).cast("long").alias("id"), head.alias("value"))
     body = cards.select("q_type", F.col("id").cast("long").alias("id"), F.col("card").alias("value"))

@@ -11,18 +11,18 @@ from graphloom.functions import text as T
 from graphloom.operators.graph import KnowledgeGraph, merge_graphs
 from graphloom.operators.ingest import parsed
 
-#: Turns (id, text) into (id, response); a model behind an Arrow UDF, or a rule in tests.
+#: Turns (id, text) into (id, response); a model behind an Arrow UDF, or a rule in tests. Ids are texts.
 Extractor = Callable[[DataFrame], DataFrame]
 
 
-def extracted(texts: DataFrame, extract: Extractor, most: int = 1200) -> KnowledgeGraph:
-    """texts: path, text. Chunks whose response has no entity give nothing; seq is path, chunk, place."""
+def extracted(texts: DataFrame, extract: Extractor, most: int = 1200, version: int = 0) -> KnowledgeGraph:
+    """texts: path, text. Chunks whose response has no entity give nothing; seq is (version, path, chunk, place), so rows of a later version come after all of an earlier one."""
     pieces = texts.select("path", F.posexplode(T.chunks(F.col("text"), most)).alias("no", "text"))
-    order = F.xxhash64("path").bitwiseAND(F.lit((1 << 30) - 1)) * F.lit(1 << 20) + F.col("no")
-    rows = parsed(extract(pieces.select(order.alias("id"), "text"))).where("ok")
-    e = rows.select("id", F.posexplode("entities").alias("k", "r")).select("r.*", (F.col("id") * 1000 + F.col("k")).alias("seq"))
-    t = rows.select("id", F.posexplode("triplets").alias("k", "r")).select("r.*", (F.col("id") * 1000 + F.col("k")).alias("seq"))
-    return KnowledgeGraph(e, t)
+    rows = parsed(extract(pieces.select(F.concat_ws("|", F.col("no").cast("string"), "path").alias("id"), "text"))).where("ok")
+    no = F.substring_index("id", "|", 1)
+    seq = F.struct(F.lit(version).cast("long").alias("version"), F.expr("substring(id, length(substring_index(id, '|', 1)) + 2)").alias("path"), no.cast("long").alias("chunk"), F.col("k").cast("long").alias("place"))
+    spread = lambda name: rows.select("id", F.posexplode(name).alias("k", "r")).select("r.*", seq.alias("seq"))
+    return KnowledgeGraph(spread("entities"), spread("triplets"))
 
 
 def stored(spark: SparkSession, folder: str, version: int) -> KnowledgeGraph:
@@ -33,8 +33,8 @@ def build(spark: SparkSession, source: str, folder: str, extract: Extractor, mos
     """Work off the files of `source` that weren't yet; each batch writes a new version beside the last, so a batch that is done again changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = extracted(batch, extract, most)
-        whole = merge_graphs(stored(spark, folder, number - 1), new) if number else merge_graphs(new)
+        new = extracted(batch, extract, most, number)
+        whole = merge_graphs(stored(spark, folder, number - 1), new, ordered=True) if number else merge_graphs(new, ordered=True)
         for name in ("entities", "triplets"):
             getattr(whole, name).write.mode("overwrite").parquet(f"{folder}/v{number}/{name}")
 

@@ -4,6 +4,7 @@ import importlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 from graphloom.operators import graph, retrieve
 from graphloom.plans import registry
@@ -11,20 +12,29 @@ from graphloom.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-def test_every_vector_is_asked(spark, monkeypatch):
-    monkeypatch.setattr(importlib.import_module("graphloom.operators.retrieve"), "TOGETHER", 70)
+def test_every_vector_is_met(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "ASKED", 70)
+    monkeypatch.setattr(retrieve, "BLOCK", 30)
     x = np.round(np.random.default_rng(3).normal(size=(200, 4)), 1)
     x[50:60] = x[10]
     df = spark.createDataFrame([(k, [float(c) for c in r]) for k, r in enumerate(x)], "id long, v array<double>").repartition(3)
     unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-    score = np.round(unit @ unit.T, 6)
+    score = np.round(unit @ unit.T, 12)
     want = [(q, i, k + 1) for q in range(200) for k, i in enumerate(sorted(range(200), key=lambda i: (-score[q, i], i))[:5])]
     got = retrieve.vector_topk(df.withColumnRenamed("id", "q_id"), df)
     assert sorted((r["q_id"], r["id"], r["rank"]) for r in got.collect()) == sorted(want)
-    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    for name, most in (("vector_topk_whole", 5), ("hybrid_context_whole", 3)):
-        rows = registry.queries()[name](spark, SF).groupBy("q_id").count().collect()
-        assert len(rows) == n and all(r["count"] <= most for r in rows)
+    ids = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+    rows = registry.queries()["vector_topk"](spark, SF).groupBy("q_id").count().collect()
+    assert {r["q_id"] for r in rows} == ids and all(r["count"] == 5 for r in rows)
+
+
+def test_few_rows_are_kept_in_between(monkeypatch):
+    run = retrieve._nearest(2, most=6)
+    x = np.random.default_rng(1).normal(size=(40, 3))
+    batch = lambda q, v: pa.RecordBatch.from_pylist([{"qids": np.arange(5).tobytes(), "q": q.tobytes(), "ids": np.arange(k, k + 4).tobytes(), "x": v[k : k + 4].tobytes(), "dim": 3} for k in range(0, 40, 4)])
+    (out,) = run(iter([batch(x[:5], x), batch(x[:5][:0], x)][:1]))
+    score = np.round(x[:5] @ x.T, 12)
+    assert sorted(zip(out["q_id"].to_pylist(), out["id"].to_pylist(), strict=True)) == sorted((q, int(i)) for q in range(5) for i in np.argsort(-score[q])[:2])
 
 
 def test_second_search_fills_up(spark):
@@ -49,12 +59,12 @@ def agree(spark, *names):
 
 
 def test_edges_of_all_parts(spark):
-    got = agree(spark, "edges_resolved_whole", "edges_dangling_whole", "nodes_isolated_whole", "relation_chunk_text_whole")
+    got = agree(spark, "edges_resolved", "edges_dangling", "nodes_isolated", "relation_chunk_text")
     parts = spark.read.parquet(f"{SF}/lineitem.parquet")
-    assert sum(r["predicate"] == "supplies" for r in got["edges_resolved_whole"]) == parts.count()
+    assert sum(r["predicate"] == "supplies" for r in got["edges_resolved"]) == parts.count()
     supplied = {f"p_{r[0]}" for r in parts.select("l_partkey").distinct().collect()}
-    assert not supplied & {r["id"] for r in got["nodes_isolated_whole"]}
-    assert not [r for r in got["edges_dangling_whole"] if r["object_id"] in supplied] and not [r for r in got["relation_chunk_text_whole"] if r["text"].endswith("supplies ")]
+    assert not supplied & {r["id"] for r in got["nodes_isolated"]}
+    assert not [r for r in got["edges_dangling"] if r["object_id"] in supplied] and not [r for r in got["relation_chunk_text"] if r["text"].endswith("supplies ")]
 
 
 def test_dangling_and_isolated_in_a_fixture(spark):
@@ -66,9 +76,9 @@ def test_dangling_and_isolated_in_a_fixture(spark):
 
 
 def test_texts_count_to_their_end(spark):
-    got = agree(spark, "option_argmax_whole", "lexical_topk_whole", "lexical_context_whole", "clean_options_whole")
+    got = agree(spark, "option_argmax", "lexical_topk", "lexical_context", "clean_options")
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert any(r["answer"] != "A" for r in got["option_argmax_whole"])
-    assert all(len(r["option"]) > 30 for r in got["clean_options_whole"] if len("_".join(docs[r["doc_id"]].split())) > 40)
+    assert any(r["answer"] != "A" for r in got["option_argmax"])
+    assert all(len(r["option"]) > 30 for r in got["clean_options"] if len("_".join(docs[r["doc_id"]].split())) > 40)
     asked = {r["item_id"]: [w for w in r["text"].lower().split() if len(w) > 2] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    assert all(r["score"] == sum(3 * (w in docs[r["id"]].lower()) for w in asked[r["q_id"]]) for r in got["lexical_topk_whole"])
+    assert all(r["score"] == sum(3 * (w in docs[r["id"]].lower()) for w in asked[r["q_id"]]) for r in got["lexical_topk"])
