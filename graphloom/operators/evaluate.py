@@ -16,8 +16,8 @@ from graphloom.operators import models, retrieve
 
 def option_scores(options: Column, context: Column) -> Column:
     """For each option its words of more than 3 characters that the context contains."""
-    low = F.lower(context)
-    return F.transform(options, lambda o: F.size(F.filter(T.tokens(F.lower(o)), lambda w: (F.length(w) > 3) & F.contains(low, w))))
+    count = lambda low: F.transform(options, lambda o: F.size(F.filter(T.tokens(F.lower(o)), lambda w: (F.length(w) > 3) & F.contains(low, w))))
+    return F.transform(F.array(F.lower(context)), count)[0]  # by way of an array, so that the context is lower-cased once and not for each word
 
 
 def best_option(scores: Column) -> Column:
