@@ -22,8 +22,8 @@ def option_scores(options: Column, context: Column) -> Column:
 
 def best_option(scores: Column) -> Column:
     """The letter of the first highest score; A where none is above 0."""
-    top = F.array_max(scores)
-    return F.when(top > 0, F.char(F.array_position(scores, top) + 64)).otherwise("A")
+    letter = lambda s: F.when(F.array_max(s) > 0, F.char(F.array_position(s, F.array_max(s)) + 64)).otherwise("A")
+    return F.transform(F.array(scores), letter)[0]  # by way of an array, so that the scores are computed once
 
 
 def graded(rows: DataFrame) -> DataFrame:

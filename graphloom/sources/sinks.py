@@ -32,11 +32,13 @@ def turtle(graph: KnowledgeGraph, path: str, strict: bool = False) -> None:
 
 
 def property_graph(graph: KnowledgeGraph, folder: str, raw_types: bool = False) -> None:
-    """Node and edge tables: labels from aliases, name = id unless given, sanitised property keys; edges whose ends are both there."""
+    """Node and edge tables: labels from aliases, name = id unless given, sanitised property keys; edges whose ends are both there. Rows that can be neither, as they lack an id, a predicate or an end, go to the table `rejected`."""
     labels = F.filter(F.transform(F.filter("label", lambda x: F.coalesce(x, F.lit("")) != ""), T.sanitized), lambda x: x != "")
     empty = F.create_map().cast("map<string,string>")
     props = node_properties(F.coalesce("properties", empty))
-    nodes = graph.entities.select(labels.alias("labels"), "id", F.coalesce(F.try_element_at(props, F.lit("name")), F.col("id")).alias("name"), "description", "original_text", props.alias("properties"), F.to_json("metadata").alias("metadata"))
+    bad = lambda df, what, *needed: df.where(" or ".join(f"{c} is null" for c in needed)).select(F.lit(what).alias("kind"), F.to_json(F.struct(*[c for c in df.columns if c != "seq"])).alias("row"))
+    bad(graph.entities, "node", "id").union(bad(graph.triplets, "edge", "subject_id", "predicate", "object_id")).write.mode("overwrite").parquet(f"{folder}/rejected")
+    nodes = graph.entities.where("id is not null").select(labels.alias("labels"), "id", F.coalesce(F.try_element_at(props, F.lit("name")), F.col("id")).alias("name"), "description", "original_text", props.alias("properties"), F.to_json("metadata").alias("metadata"))
     nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
     ids = graph.entities.select("id")
     kind = F.col("predicate") if raw_types else T.relation_type(F.col("predicate"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,37 @@ def extracted(texts: DataFrame, extract: Extractor, most: int = 1200, version: i
     return KnowledgeGraph(spread("entities"), spread("triplets"))
 
 
+def sequentially(make: Callable[[], Callable[[str, str], str]], most: int = 100) -> Extractor:
+    """An extractor that works off the chunks of a file one after another: the model is given a chunk and one line for each of the last `most` entities of the chunks before it.
+
+    Files are independent, so they are the parallelism; a file's chunks are held by one task. A response that is no graph adds nothing to what the next chunk is told.
+    """
+
+    def of_file(chunks: pd.DataFrame) -> pd.DataFrame:
+        model, known, said = make(), {}, []
+        chunks = chunks.assign(no=[int(i.split("|", 1)[0]) for i in chunks["id"]]).sort_values("no")
+        for text in chunks["text"]:
+            lines = [f"- {e['id']} ({e['type']}): {', '.join(e['label'][:3])}" for e in list(known.values())[-most:]]
+            said.append(model(text, "\n".join(lines)))
+            known |= {e["id"]: e for e in _entities(said[-1]) if e["id"] not in known}
+        return pd.DataFrame({"id": chunks["id"], "response": said})
+
+    def extract(chunks: DataFrame) -> DataFrame:
+        return chunks.groupBy(F.expr("substring(id, length(substring_index(id, '|', 1)) + 2)")).applyInPandas(of_file, "id string, response string")
+
+    return extract
+
+
+def _entities(response: str) -> list[dict]:
+    """What a response tells the next chunk: entities with id, type and labels."""
+    try:
+        found = json.loads(response[response.index("{") : response.rindex("}") + 1]).get("entities", [])
+    except (ValueError, AttributeError):
+        return []
+    listed = lambda e: e["label"] if isinstance(e.get("label"), list) else [e.get("label", e["id"])]
+    return [{"id": str(e["id"]), "type": str(e.get("type", "")), "label": [str(x) for x in listed(e)]} for e in found if isinstance(e, dict) and e.get("id")]
+
+
 def stored(spark: SparkSession, folder: str, version: int) -> KnowledgeGraph:
     return KnowledgeGraph(*(spark.read.parquet(f"{folder}/v{version}/{x}") for x in ("entities", "triplets")))
 

@@ -67,6 +67,10 @@ def test_files_round_trip(spark, tmp_path):
     assert back.triplets.count() == 3
     sinks.property_graph(g, f"{tmp_path}/pg")
     assert spark.read.parquet(f"{tmp_path}/pg/edges").select("rel_type").distinct().count() == 2
+    odd = graph.KnowledgeGraph(g.entities.union(spark.createDataFrame([(None, ["x"], None, None, None, None, None, 9)], E)), g.triplets.union(spark.createDataFrame([("a", None, "b", None, None, 9)], TR)))
+    sinks.property_graph(odd, f"{tmp_path}/odd")
+    assert sorted(r["kind"] for r in spark.read.parquet(f"{tmp_path}/odd/rejected").collect()) == ["edge", "node"]
+    assert sorted(r["name"] for r in spark.read.parquet(f"{tmp_path}/odd/nodes").collect()) == ["a", "b"]
 
 
 def test_node_properties(spark):
@@ -220,6 +224,18 @@ def test_stream_whose_files_share_ids_equals_the_files_in_order(spark, tmp_path)
     assert (e["label"], e["type"], e["original_text"], e["properties"], t["properties"]) == (order, order[0], "\n\n".join(order), {"k": order[-1]}, {"k": order[0]})
 
 
+def test_chunks_one_after_another(spark):
+    def make():
+        def model(text, known):
+            return json.dumps({"entities": [{"id": text.split()[0], "type": "T", "label": [text], "description": known or "none"}], "triplets": []}) if "bad" not in text else "no graph"
+
+        return model
+
+    texts = spark.createDataFrame([("p|1", "one a\n\ntwo b\n\nbad\n\nthree c"), ("q", "four d")], "path string, text string")
+    got = incremental.extracted(texts, incremental.sequentially(make, 2), 7).entities.orderBy("seq").collect()
+    assert [(r["seq"]["path"], r["seq"]["chunk"], r["id"], r["description"]) for r in got] == [("p|1", 0, "one", "none"), ("p|1", 1, "two", "- one (T): one a"), ("p|1", 3, "three", "- one (T): one a\n- two (T): two b"), ("q", 0, "four", "none")]
+
+
 def test_question_set(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps({"multiple_choice": [{"question": "q", "options": [{"answer": "a", "isCorrect": True}]}], "true_false": []}))
     assert [(r["q_type"], r["id"]) for r in files.questions_json(spark, str(tmp_path / "q.json")).collect()] == [("multiple_choice", 1)]
