@@ -1,9 +1,14 @@
+import functools
+import hashlib
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline as P
-from graphloom.llm import op02_toxicity, op03_bpe, op04_pii, op05_simhash, op07_mixing
+from graphloom.llm import op02_toxicity, op03_bpe, op05_simhash, op07_mixing
 from tests.llm.common import awkward, docs_of
 from tests.llm.test_op02_toxicity import corpus
+from tests.llm.test_op05_simhash import brute, union_find
 
 
 def test_stages_keep_the_columns_and_run_over_all_rows(spark, tmp_path):
@@ -13,17 +18,33 @@ def test_stages_keep_the_columns_and_run_over_all_rows(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 1, y) for k, y in enumerate(toxic)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
-    # in plain Python over collected rows, with each operator's own per-text function
+    # stage by stage over collected rows, by brute force where the operators don't: all pairs of fingerprints, clamps one after another, masks by hand
     index = op02_toxicity.fit(docs, labels)
-    rows = [r for r in docs.collect() if (p := index.judge(r["text"])[0]) is None or p < op02_toxicity.CUT]
-    assert 230 <= len(rows) <= 255
-    gone = {r["doc_id"] for r in op05_simhash.near_duplicates(spark.createDataFrame(rows, docs.schema)).where("not keep").collect()}
+    rows = docs.collect()
+    scored = list(index.judged(pa.array([r["text"] or "" for r in rows])))
+    rows = [r for r, (p, _, _) in zip(rows, scored, strict=True) if p is None or p < op02_toxicity.CUT]
+    assert 230 <= len(rows) <= 255 and sum(toxic[r["doc_id"]] for r in rows if r["doc_id"] < 300) <= 3
+    fp = op05_simhash.fingerprints(*op05_simhash.S.bytes_of(pa.array([r["text"].lower() for r in rows])))[0]
+    group = union_find(range(len(rows)), brute(fp, op05_simhash.BUDGET))
+    first = {g: min(rows[k]["doc_id"] for k in group if group[k] == g) for g in set(group.values())}
+    gone = {rows[k]["doc_id"] for k, g in group.items() if rows[k]["doc_id"] != first[g]}
     assert gone >= {300 + k for k in range(10) if not toxic[100 + k]}
-    rows = [(r["doc_id"], op04_pii.redacted(r["text"]), r["source"]) for r in rows if r["doc_id"] not in gone]
-    masked = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    epochs = {r["source"]: r["epochs"] for r in op07_mixing.water_fill(masked).collect()}
-    import hashlib
-
+    masks = [("jo@example.org", "[EMAIL]"), ("+49 170 1234567", "[PHONE]")]
+    rows = [(r["doc_id"], functools.reduce(lambda t, m: t.replace(*m), masks, r["text"]), r["source"]) for r in rows if r["doc_id"] not in gone]
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t)
+    open_, left, epochs = dict.fromkeys(size), op07_mixing.BUDGET * sum(size.values()), {}
+    while open_:  # clamp whoever passes the cap, give the rest to the others, again
+        total = sum(size[s] ** op07_mixing.ALPHA for s in open_)
+        over = [s for s in open_ if left * size[s] ** op07_mixing.ALPHA / total >= op07_mixing.MOST_EPOCHS * size[s]]
+        if not over:
+            epochs |= {s: left * size[s] ** op07_mixing.ALPHA / total / size[s] for s in open_}
+            break
+        for s in over:
+            epochs[s] = op07_mixing.MOST_EPOCHS
+            left -= op07_mixing.MOST_EPOCHS * size[s]
+            del open_[s]
     want = []
     for i, t, s in rows:
         u = int(hashlib.md5(f"{op07_mixing.SEED}|{i}".encode()).hexdigest()[:8], 16) / 2**32
