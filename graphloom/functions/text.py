@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 STOP = "các của gì hoặc là những trong từ và vào với đến".split()
 CATEGORIES = (("ai", "person"), ("cái gì", "thing"), ("ở đâu", "location"), ("khi nào", "time"), ("tại sao", "reason"))
+#: Unicode's White_Space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_ANSWER = "[NO PREDICTION]"
 NOTHING_FOUND = "No relevant information found."
 
 
 def strip(x: Column) -> Column:
-    """Without white space (Unicode's) at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space (Unicode's) at both ends; only the ends are looked at."""
+    return F.btrim(x, F.lit(SPACE))
 
 
 def tokens(x: Column) -> Column:

@@ -30,6 +30,11 @@ def pack(text, most):
     return out + ([cur.strip()] if cur.strip() else [])
 
 
+def test_strip_equals_the_regular_expression(spark):
+    texts = [a + b + c for a in ("", " ", "\u2003\n", "\x1c", "\xa0\u3000\t", "\u200b") for b in ("", "x", "a \n b", "é\u2028日") for c in ("", "  ", "\r\n", "\u205f", "\x85 .")] + [None]
+    assert one(spark, texts, T.strip) == one(spark, texts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+
+
 def test_chunks(spark):
     texts = ["", "  \n\n ", "a. b! c; d", "one\n\ntwo\n\n" + "x" * 30 + ". tail. more", "w" * 50, "aa. bb. cc. dd. ee. ff. gg\n\nshort", None]
     got = one(spark, texts, lambda x: T.chunks(x, 12))
