@@ -1,4 +1,4 @@
-"""Building a graph from files as they come: each micro-batch is cut into chunks, extracted, merged into the tables."""
+"""Building a graph from files as they come: each micro-batch is cut into chunks, extracted, and merged into those parts of the tables that it concerns."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.lineage import forget, written
 from graphloom.operators.graph import KnowledgeGraph, merge_graphs
-from graphloom.operators.ingest import parsed
+from graphloom.operators.ingest import ENTITY, TRIPLET, parsed
 
 #: Turns (id, text) into (id, response); a model behind an Arrow UDF, or a rule in tests. Ids are texts.
 Extractor = Callable[[DataFrame], DataFrame]
@@ -58,18 +59,54 @@ def _entities(response: str) -> list[dict]:
     return [{"id": str(e["id"]), "type": str(e.get("type", "")), "label": [str(x) for x in listed(e)]} for e in found if isinstance(e, dict) and e.get("id")]
 
 
+#: Parts that a stored graph is cut into, by a hash of an entity's id or a triplet's subject; a batch writes only those that it changes.
+BUCKETS = 64
+SEQ = "STRUCT<version: BIGINT, path: STRING, chunk: BIGINT, place: BIGINT>"
+KEY = {"entities": "id", "triplets": "subject_id"}
+SCHEMA = {name: f"{kind.removeprefix('STRUCT<').removesuffix('>')}, seq: {SEQ}" for name, kind in (("entities", ENTITY), ("triplets", TRIPLET))}
+
+
+def _manifest(spark: SparkSession, folder: str, version: int) -> dict[str, dict[int, int]]:
+    """For each table the version that last wrote each bucket."""
+    if version < 0:
+        return {name: {} for name in KEY}
+    rows = spark.read.schema("name string, bucket int, version int").parquet(f"{folder}/manifest/v{version}").collect()  # 2 * BUCKETS at most
+    return {name: {r["bucket"]: r["version"] for r in rows if r["name"] == name} for name in KEY}
+
+
+def _table(spark: SparkSession, folder: str, name: str, at: dict[int, int], buckets: list[int] | None = None) -> DataFrame:
+    out = spark.createDataFrame([], SCHEMA[name])
+    for version in sorted({v for b, v in at.items() if buckets is None or b in buckets}):
+        own = [b for b, v in at.items() if v == version and (buckets is None or b in buckets)]
+        part = spark.read.parquet(f"{folder}/{name}/v{version}").where(F.col("bucket").isin(own)).drop("bucket")
+        out = out.unionByName(part)
+    return out
+
+
 def stored(spark: SparkSession, folder: str, version: int) -> KnowledgeGraph:
-    return KnowledgeGraph(*(spark.read.parquet(f"{folder}/v{version}/{x}") for x in ("entities", "triplets")))
+    """The graph as a version left it: each bucket from the version that last wrote it."""
+    at = _manifest(spark, folder, version)
+    return KnowledgeGraph(*(_table(spark, folder, name, at[name]) for name in KEY))
 
 
 def build(spark: SparkSession, source: str, folder: str, extract: Extractor, most: int = 1200) -> None:
-    """Work off the files of `source` that weren't yet; each batch writes a new version beside the last, so a batch that is done again changes nothing."""
+    """Work off the files of `source` that weren't yet; each batch merges what it found into the buckets concerned and writes these beside their last version, so a batch that is done again changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = extracted(batch, extract, most, number)
-        whole = merge_graphs(stored(spark, folder, number - 1), new, ordered=True) if number else merge_graphs(new, ordered=True)
-        for name in ("entities", "triplets"):
-            getattr(whole, name).write.mode("overwrite").parquet(f"{folder}/v{number}/{name}")
+        found = extracted(batch, extract, most, number)
+        new = KnowledgeGraph(*(written(getattr(found, name).withColumn("bucket", F.pmod(F.xxhash64(KEY[name]), F.lit(BUCKETS)).cast("int")), f"new-{name}") for name in KEY))
+        at = _manifest(spark, folder, number - 1)
+        touched = {name: sorted(r["bucket"] for r in getattr(new, name).select("bucket").distinct().collect()) for name in KEY}
+        old = KnowledgeGraph(*(_table(spark, folder, name, at[name], touched[name]) for name in KEY))
+        whole = merge_graphs(old, KnowledgeGraph(*(getattr(new, name).drop("bucket") for name in KEY)), ordered=True)
+        for name in KEY:
+            parts = getattr(whole, name).withColumn("bucket", F.pmod(F.xxhash64(KEY[name]), F.lit(BUCKETS)).cast("int"))
+            parts.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}/v{number}")
+            at[name] |= dict.fromkeys(touched[name], number)
+        rows = [(name, b, v) for name in KEY for b, v in at[name].items()]
+        spark.createDataFrame(rows, "name string, bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/v{number}")
+        for name in KEY:
+            forget(getattr(new, name))
 
     files = spark.readStream.format("text").option("wholetext", "true").load(source).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     files.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

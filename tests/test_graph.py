@@ -209,6 +209,20 @@ def test_streamed_build_equals_the_batch(spark, tmp_path):
     assert rows(got) == rows(graph.merge_entities(batch.entities)) and len(rows(got)) == 3
 
 
+def test_a_batch_leaves_other_buckets_alone(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, t in enumerate(["Alpha one\n\nBeta two\n\nGamma", "Alpha three"]):
+        (tmp_path / f"in/{k}.txt").write_text(t)
+        incremental.build(spark, str(tmp_path / "in"), str(tmp_path / "out"), capitals, 12)
+    wrote = lambda v: {int(p.name.split("=")[1]) for p in (tmp_path / f"out/entities/v{v}").glob("bucket=*")}
+    assert len(wrote(0)) >= 2 and len(wrote(1)) == 1 and wrote(1) < wrote(0)
+    assert {r["id"] for r in incremental.stored(spark, str(tmp_path / "out"), 1).entities.collect()} == {"alpha", "beta", "gamma"}
+    assert {r["id"]: r["description"] for r in incremental.stored(spark, str(tmp_path / "out"), 1).entities.collect()}["alpha"] == "11"
+    (tmp_path / "in/9.txt").write_text("")  # a file without a chunk changes nothing
+    incremental.build(spark, str(tmp_path / "in"), str(tmp_path / "out"), capitals, 12)
+    assert incremental.stored(spark, str(tmp_path / "out"), 2).entities.count() == 3
+
+
 def test_stream_whose_files_share_ids_equals_the_files_in_order(spark, tmp_path):
     def told(chunks):
         return chunks.select("id", F.concat(F.lit('{"entities": [{"id": "e", "label": ["'), "text", F.lit('"], "type": "'), "text", F.lit('", "description": "same", "original_text": "'), "text", F.lit('", "properties": {"k": "'), "text", F.lit('"}}], "triplets": [{"subject_id": "e", "predicate": "p", "object_id": "f", "properties": {"k": "'), "text", F.lit('"}}]}')).alias("response"))
