@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_0
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             base, start = int(ends[stop - 1]), stop
+        tidy()
+
+
+def tidy() -> None:
+    """Give memory that was used for a batch back to the system: workers live on, and otherwise keep it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 
 
 def lengths(col: pa.Array) -> np.ndarray:

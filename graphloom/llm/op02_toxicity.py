@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -372,9 +373,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Index:
 EVIDENCE = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
 
-def _scorer(index: Index):
+def _scorer(sent: Broadcast[Index]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in S.slices(batches, "text", 8_000_000):
+        index = sent.value
+        for b in S.slices(batches, "text"):
             scores, sims, found = zip(*index.judged(b.column(1)), strict=True)
             edge = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
             at = np.concatenate(found)
@@ -386,17 +388,18 @@ def _scorer(index: Index):
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: doc_id, score, toxic, evidence (the nearest examples with similarity and label)."""
-    index = fit(docs, labels)
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # as large as SAMPLE texts at most; a worker holds it once, and not as part of the code
     skinny = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return skinny.mapInArrow(_scorer(index), "doc_id long, score double, toxic boolean, evidence array<struct<example: long, similarity: double, label: int>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the toxic ones; columns as they came. One pass after the fit, without a shuffle."""
-    index = fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in S.slices(batches, "text", 8_000_000):
+        index = sent.value
+        for b in S.slices(batches, "text"):
             clean = [p is None or p < CUT for p, _, _ in index.judged(pc.fill_null(b.column(b.schema.get_field_index("text")), ""))]
             yield b.filter(pa.array(clean, pa.bool_()))
 

@@ -212,7 +212,7 @@ def codec(spec: str) -> Codec:
 def _encoder(spec: str, back: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec)
-        for b in S.slices(batches, "text", 2_000_000):
+        for b in S.slices(batches, "text", 500_000):
             text = b.column(1)
             data, starts = S.bytes_of(text)
             ids, edges = own.encode(data, starts)
