@@ -3,16 +3,15 @@
 Fingerprint: 256 bits; every distinct lower-cased word (a run of non-white-space) votes with the square root of its count, 2 at most.
 Two documents are near duplicates when their fingerprints differ in at most BUDGET bits. Equal fingerprints are one class and enter the join once.
 
-Join: a trie over whole fingerprints of N documents is about log2 N bits deep before its nodes are single rows, fewer than BUDGET, so no path could ever exceed that
-budget. So the join is run in several tables, each with a seeded sample of bits: the first ones (log2(N / BUCKET)) are the bucket, on which a pair has to agree, the next FURTHER are
-the levels of the bucket's binary trie, on which it may differ in ERRORS bits. The self-join walks pairs of trie nodes together, adds up the bits in which they
-differ, drops a node pair once that sum exceeds ERRORS, and compares whole fingerprints with BUDGET when a node pair is down to LEAF x LEAF rows. A pair is found in a table if
-and only if it keeps to these two rules there, so what is found follows from the fingerprints alone, not from how rows are spread; the number of tables follows from the wanted recall. The work
-grows as N^1.2 or so, not N^2.
+Join: exact. The fingerprint is cut into BUDGET // (ERRORS + 1) + 1 blocks, one table each, so of two fingerprints within the budget some block differs in at most ERRORS
+bits; of the blocks as a ring some even starts a run whose every beginning has no more than its share of the budget, so a table may also drop pairs that pass that share in SPAN blocks. A
+table is a binary trie over its block: the self-join walks pairs of trie nodes together, adds up the bits in which they differ, drops a node pair once that sum exceeds ERRORS, and compares
+whole fingerprints with BUDGET when a node pair is down to LEAF x LEAF rows. So no pair within the budget is lost, whatever the fingerprints are. The work is some 2 % of all pairs of
+fingerprints, a short look at each: it grows as N^2.
 
-A bucket of more than HOT fingerprints (a family of near copies can hold a third of all rows) is cut into chunks by a hash of the id, and each pair of chunks is a task's work of its own, so
-no pair is lost and none is found twice. Pairs are never listed as a whole: pieces of them go into a union-find and into counts, so a bucket gives its spanning edges and each fingerprint's
-number of links; a pair is counted in the first table that finds it. Connected components by alternating large-star and small-star steps give the groups.
+More than HOT fingerprints are cut into chunks by a hash of the id, and each pair of chunks is a task's work of its own (with few chunks, a task takes some of the tables), so no pair is lost and
+none is found twice. Pairs are never listed as a whole: pieces of them go into a union-find and into counts, so a task gives its spanning edges and each fingerprint's number of links; a pair is
+counted in the first table that finds it. Connected components by alternating large-star and small-star steps give the groups.
 
 Defined results: null, empty and white-space-only texts have no fingerprint and are never duplicates; rows with a null
 doc_id take no part in `near_duplicates` (nothing names them), and `drop_near_duplicates` keeps them; repeated rows are
@@ -39,13 +38,18 @@ BUDGET = 42
 #: A word's vote: the square root of its count, at most this; so no common word decides bits alone.
 MOST_WEIGHT = 2.0
 SEED = 7
-#: Design point: a share RATE of differing bits is found with probability RECALL.
-RATE, RECALL = 0.15, 0.97
-#: Fingerprints that a bucket holds on average, if bits were even; more than HOT are cut into chunks of about HOT.
-BUCKET, HOT = 4096, 16384
-#: Levels of a bucket's trie, and in how many of them a pair may differ.
-FURTHER, ERRORS = 12, 2
-LEAF = 8
+#: In how many bits a pair may differ in one of the blocks, and the levels of a block's trie: its bits.
+ERRORS = 2
+FURTHER = BITS // (BUDGET // (ERRORS + 1) + 1)
+#: Blocks, its own first, in which a table looks at a pair before it compares whole fingerprints.
+SPAN = 3
+#: Fingerprints of a chunk, about.
+HOT = 1 << 19
+LEAF = 4
+#: A bucket of node pairs is walked at once; and so many near pairs are added to the union-find at once.
+BUCKET = 1 << 18
+#: Tasks of the join; beyond that a task has several pairs of chunks, one after another.
+MOST_TASKS = 4096
 _SALTS = np.array([0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -89,21 +93,29 @@ def signatures(docs: DataFrame) -> DataFrame:
     return skinny.where(F.col(f"{S.OWN}text").isNotNull() & F.col(ID).isNotNull()).mapInArrow(_sign, f"{ID} long, {TH} long, " + ", ".join(f"{c} long" for c in FP))
 
 
-def layout(n: int, rate: float = RATE, recall: float = RECALL) -> tuple[int, int]:
-    """Sampled bits of a bucket key, and tables, for n distinct fingerprints."""
-    width = max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
-    inside = sum(math.comb(FURTHER, k) * rate**k * (1 - rate) ** (FURTHER - k) for k in range(ERRORS + 1))
-    return width, max(4, math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** width * inside)))
+def layout(n: int, budget: int = BUDGET) -> tuple[int, int]:
+    """Bits on which a pair has to agree (none: any would lose pairs), and tables, whatever the number n of distinct fingerprints."""
+    return 0, budget // (ERRORS + 1) + 1
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fp.astype(">u8")).view(np.uint8), axis=1)
 
 
-def samples(width: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """(tables, width + FURTHER) bit numbers: of the bucket, then of the trie's levels."""
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(BITS, width + FURTHER, replace=False) for _ in range(tables)])
+def samples(width: int, tables: int, blocks: int = 1) -> np.ndarray:
+    """(tables, width + levels) bit numbers: after `width` ones (0, see layout) the levels of each table's trie, its own block of the fingerprint; with more blocks, also those that follow it on the ring."""
+    levels = min(BITS // tables, 32)
+    return (np.arange(tables)[:, None] * levels + np.arange(width + blocks * levels)) % (tables * levels)
+
+
+def window(fp: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """These bits (64 at most, mostly one after another) of each row as one number."""
+    out = np.zeros(len(fp), np.uint64)
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(bits) != 1) | (bits[1:] % 64 == 0), [True]]))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        k, end, n = bits[a] // 64, bits[b - 1] % 64 + 1, int(b - a)
+        out = (out << np.uint64(n)) | ((fp[:, k] >> np.uint64(64 - end)) & np.uint64((1 << n) - 1))
+    return out
 
 
 def masks(bits: np.ndarray) -> np.ndarray:
@@ -124,27 +136,40 @@ def differing(x: np.ndarray) -> np.ndarray:
 Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
-def trie_join(fp: np.ndarray, word: np.ndarray, root: np.ndarray, budget: int = BUDGET, levels: int = FURTHER, errors: int = ERRORS, leaf: int = LEAF, seen: Counter | None = None) -> Pairs:
+def trie_join(
+    fp: np.ndarray, word: np.ndarray, root: np.ndarray, budget: int = BUDGET, levels: int = FURTHER, errors: int = ERRORS, leaf: int = LEAF, seen: Counter | None = None, wide: tuple[np.ndarray, int] | None = None, across: bool = False
+) -> Pairs:
     """Pieces of the pairs (i < j) of rows with one root whose words differ in at most `errors` of their `levels` bits and whose fingerprints in at most `budget`.
 
-    Rows are ordered by (root, word); a trie node is a range of rows that share root and the first bits of word. seen counts the node pairs that were visited and pruned.
+    Rows are ordered by (root, word); a trie node is a range of rows that share root and the first bits of word. wide: further numbers, and in how many bits those of a pair may differ.
+    across: pairs of a row of the first root with one of the second instead. seen counts the node pairs that were visited and pruned.
     """
     n = len(fp)
     if n < 2:
         return
     cut = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
     a0, a1 = cut, np.concatenate([cut[1:], [n]])
-    keep = a1 - a0 > 1
-    a0, a1 = a0[keep], a1[keep]
-    b0, b1, err = a0, a1, np.zeros(len(a0), np.int64)
-    for depth in range(levels + 1):
-        small = ((a1 - a0) * (b1 - b0) <= leaf * leaf) | (depth == levels)
+    if across:
+        a0, a1, b0, b1 = a0[:1], a1[:1], a0[1:2], a1[1:2]
+        a0, a1 = a0[: len(b0)], a1[: len(b0)]
+    else:
+        keep = a1 - a0 > 1
+        a0, a1 = a0[keep], a1[keep]
+        b0, b1 = a0, a1
+    bit = [np.concatenate([[0], np.cumsum((word >> (levels - 1 - d)) & 1, dtype=np.int32)]).astype(np.int32) for d in range(levels)]
+    todo = [(0, *(x.astype(np.int32) for x in (a0, a1, b0, b1, np.zeros(len(a0)))))]
+    while todo:  # the deepest first, so few node pairs wait
+        depth, a0, a1, b0, b1, err = todo.pop()
+        if len(a0) > BUCKET:
+            todo += [(depth, *(x[k : k + BUCKET] for x in (a0, a1, b0, b1, err))) for k in range(0, len(a0), BUCKET)]
+            continue
+        small = ((a1 - a0).astype(np.int64) * (b1 - b0) <= leaf * leaf) | (depth == levels)
         if small.any():
-            yield from _leaves(fp, word, a0[small], a1[small], b0[small], b1[small], budget, errors)
+            yield from _leaves(fp, word, a0[small], a1[small], b0[small], b1[small], budget, errors, wide)
         a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
         if not len(a0):
-            return
-        ones = np.concatenate([[0], np.cumsum((word >> (levels - 1 - depth)) & 1, dtype=np.int64)])
+            continue
+        ones = bit[depth]
         # rows of a node are in order, so its zeros come first
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         own = a0 == b0  # a node with itself: its halves with themselves, and once with each other
@@ -155,23 +180,29 @@ def trie_join(fp: np.ndarray, word: np.ndarray, root: np.ndarray, budget: int =
         if seen is not None:
             seen["visited"] += int(there.sum())
             seen["pruned"] += int(there.sum() - keep.sum())
-        a0, a1, b0, b1, err = (x[keep] for x in (a0, a1, b0, b1, err))
+        if keep.any():
+            todo.append((depth + 1, *(x[keep] for x in (a0, a1, b0, b1, err))))
 
 
-def _leaves(fp: np.ndarray, word: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int, errors: int, most: int = 1 << 18) -> Pairs:
-    """The row pairs of the node pairs that keep to both budgets, in pieces of about `most` row pairs (a node pair on the last level may be large: it is cut by rows)."""
+def _leaves(
+    fp: np.ndarray, word: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int, errors: int, wide: tuple[np.ndarray, int] | None = None, most: int = 1 << 18
+) -> Pairs:
+    """The row pairs of the node pairs that keep to all budgets, in pieces of about `most` row pairs (a node pair on the last level may be large: it is cut by rows)."""
     rows = a1 - a0
     at = np.repeat(np.arange(len(rows)), rows)
-    i0 = np.arange(len(at)) - np.repeat(np.cumsum(rows) - rows, rows) + a0[at]
+    i0 = np.arange(len(at)) - np.repeat(np.cumsum(rows, dtype=np.int64) - rows, rows) + a0[at]
     lo, hi = b0[at], b1[at]
     lo = np.where(a0[at] == lo, i0 + 1, lo)  # a node with itself
-    ends = np.cumsum(hi - lo)
+    ends = np.cumsum(hi - lo, dtype=np.int64)
     start = 0
     while start < len(i0):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
         size = (hi - lo)[start:stop]
         first = np.cumsum(size) - size
         i, j = np.repeat(i0[start:stop], size), np.arange(int(size.sum())) - np.repeat(first - lo[start:stop], size)
+        if wide is not None:
+            near = np.flatnonzero(np.bitwise_count(wide[0][i] ^ wide[0][j]) <= wide[1])
+            i, j = i[near], j[near]
         near = np.flatnonzero(np.bitwise_count(word[i] ^ word[j]) <= errors)
         i, j = i[near], j[near]
         near = differing(fp[i] ^ fp[j]) <= budget
@@ -180,6 +211,18 @@ def _leaves(fp: np.ndarray, word: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0
         start = stop
 
 
+def gathered(pieces: Pairs, most: int = BUCKET) -> Pairs:
+    """The same pairs in pieces of at least `most`, but for the last one."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for piece in pieces:
+        held.append(piece)
+        if sum(len(i) for i, _ in held) >= most or len(held) > 4096:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 class Forest:
     """Union-find over n rows that takes pairs piece by piece; each row's root is the one of least rank that it is connected with."""
 
@@ -204,63 +247,38 @@ class Forest:
         return self.order[self.up[self.place]]
 
 
-BUCKETED = f"bucket long, tab short, word short, {ID} long, " + ", ".join(f"{c} long" for c in FP)
-
-
-def _bucket(width: int, tables: int):
-    where = samples(width, tables)
-    power = (np.int64(1) << np.arange(width, dtype=np.int64))[::-1]
-    level = (np.int64(1) << np.arange(FURTHER, dtype=np.int64))[::-1]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                part = b.slice(k, 4096)
-                bits = _bits(np.stack([part.column(c + 1).to_numpy() for c in range(4)], 1).view(np.uint64))
-                for t in range(tables):
-                    key = bits[:, where[t, :width]].astype(np.int64) @ power
-                    word = (bits[:, where[t, width:]].astype(np.int64) @ level).astype(np.int16)
-                    bucket = pa.array(S.mix((key * tables + t).astype(np.uint64)).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([bucket, pa.array(np.full(len(word), t, np.int16)), pa.array(word), *part.columns], names=["bucket", "tab", "word", ID, *FP])
-
-    return spread
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        bucket, n = np.unique(b.column(0).to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], names=["bucket", "n"])
-
-
-def _joined(width: int, tables: int, budget: int):
-    where = samples(width, tables)
-    keys, levels = masks(where[:, :width]), masks(where[:, width:])
+def _joined(tables: int, budget: int, chunks: int, parts: int):
+    width = layout(0, budget)[0]
+    span = min(SPAN, tables, 64 // samples(width, tables).shape[1])
+    own, around, share = samples(width, tables), samples(width, tables, span), span * budget // tables
+    levels, spans = masks(own), masks(around)
 
-    def found_before(x: np.ndarray, tab: np.ndarray) -> np.ndarray:
+    def found_before(x: np.ndarray, tab: int) -> np.ndarray:
         """Whether an earlier table finds the pair with these differing bits."""
         out = np.zeros(len(x), bool)
-        for t in range(int(tab.max(initial=0))):
-            todo = np.flatnonzero((tab > t) & ~out)
-            out[todo] = ~(x[todo] & keys[t]).any(1) & (differing(x[todo] & levels[t]) <= ERRORS)
+        for t in range(tab):
+            todo = np.flatnonzero(~out)
+            out[todo] = (differing(x[todo] & levels[t]) <= ERRORS) & (differing(x[todo] & spans[t]) <= share)
         return out
 
-    def edges(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sum(p.num_rows for p in parts) < 2:
+    def edges(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in held) < 2:
             return
-        t = pa.Table.from_batches(parts)
-        root, tab, word, ids = (t.column(c).to_numpy() for c in range(4))
-        fp = np.stack([t.column(c + 4).to_numpy() for c in range(4)], 1).view(np.uint64)
-        chunk = t.column(8).to_numpy()
-        order = np.lexsort((ids, word, root))
-        root, tab, word, ids, fp, chunk = (x[order] for x in (root, tab, word, ids, fp, chunk))
+        t = pa.Table.from_batches(held)
+        bucket, chunk, ids = int(t.column(0)[0].as_py()), t.column(1).to_numpy(), t.column(2).to_numpy()
+        fp = np.stack([t.column(c + 3).to_numpy() for c in range(4)], 1).view(np.uint64)
+        one, other = divmod(bucket // parts, chunks)
         forest, links = Forest(ids), np.zeros(len(ids), np.int64)
-        for i, j in trie_join(fp, word, root, budget):
-            other = (chunk[i] != chunk[j]) | (chunk[i] < 0)  # of a pair of chunks, those between the two
-            i, j = i[other], j[other]
-            forest.add(i, j)
-            new = ~found_before(fp[i] ^ fp[j], tab[i])
-            np.add.at(links, i[new], 1)
-            np.add.at(links, j[new], 1)
+        for tab in range(bucket % parts, tables, parts):
+            word, wide = window(fp, own[tab]).astype(np.int64), window(fp, around[tab])
+            order = np.lexsort((word, chunk))
+            sorted_ = fp[order]
+            for i, j in gathered(trie_join(sorted_, word[order], chunk[order], budget, own.shape[1], wide=(wide[order], share), across=one != other)):
+                new = ~found_before(sorted_[i] ^ sorted_[j], tab)
+                i, j = order[i], order[j]
+                forest.add(i, j)
+                np.add.at(links, i[new], 1)
+                np.add.at(links, j[new], 1)
         least = forest.roots()
         moved, linked = least != np.arange(len(ids)), links > 0
         u, v = np.concatenate([ids[moved], ids[linked]]), np.concatenate([ids[least[moved]], np.zeros(linked.sum(), np.int64)])
@@ -274,15 +292,14 @@ def _joined(width: int, tables: int, budget: int):
             if not b.num_rows:
                 continue
             key = b.column(0).to_numpy()
-            at = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-            if at:
-                yield from edges([*rest, b.slice(0, at)])
-                rest = []
-            elif rest and rest[-1].column(0)[-1].as_py() != int(key[0]):
-                yield from edges(rest)
-                rest = []
-            rest.append(b.slice(at))
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for at, end in zip(cut[:-1], cut[1:], strict=True):
+                if rest and rest[-1].column(0)[-1].as_py() != int(key[at]):
+                    yield from edges(rest)
+                    rest = []
+                rest.append(b.slice(at, end - at))
         yield from edges(rest)
+        S.tidy()
 
     return join
 
@@ -308,18 +325,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_edges(distinct: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
     """(u, v, links): spanning edges between near-duplicate fingerprints (links 0), and rows with parts of u's number of links (v 0); distinct: (id, 4 words), no fingerprint twice. Written."""
-    width, tables = layout(n)
-    spread = distinct.select(ID, *FP).mapInArrow(_bucket(width, tables), BUCKETED)
-    hot = spread.select("bucket").mapInArrow(_sizes, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
-    hot = S.written(hot.select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("chunks")), "hot-buckets")
-    if hot.isEmpty():
-        cut = spread.withColumn("chunk", F.lit(-1))
-    else:  # row by row as many copies as there are chunks, so each meets each other chunk once
-        some = spread.join(hot, "bucket", "left").withColumn("own", F.pmod(F.xxhash64(ID), F.col("chunks")))
-        some = some.withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-        cut = some.select(F.when(F.col("chunks").isNull(), F.col("bucket")).otherwise(pair).alias("bucket"), "tab", "word", ID, *FP, F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).cast("int").alias("chunk"))
-    found = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_joined(width, tables, budget), "u long, v long, links long")
+    tables = layout(n, budget)[1]
+    chunks = max(1, math.ceil(n / HOT))
+    parts = math.ceil(tables / (chunks * (chunks + 1) // 2))  # of the tables, so few chunks make as many tasks as there are tables
+    own, other, part = (F.col(f"{S.OWN}{c}") for c in ("own", "other", "part"))
+    # row by row as many copies as there are chunks, so each chunk meets itself and each other one
+    some = distinct.select(ID, *FP, F.pmod(F.xxhash64(ID), F.lit(chunks)).alias(f"{S.OWN}own"))
+    some = some.withColumn(f"{S.OWN}other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    some = some.withColumn(f"{S.OWN}part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    least, most = F.least(own, other), F.greatest(own, other)
+    cut = some.select(((least * chunks + most) * parts + part).alias("bucket"), own.alias("chunk"), ID, *FP, (least + F.shiftright(most * (most + 1), 1)).alias("nth"), part.alias("part"))
+    # pairs of chunks are numbered without gaps, and each has a task of its own unless there are very many
+    tasks = min(chunks * (chunks + 1) // 2 * parts, MOST_TASKS)
+    dealt = cut.repartitionById(tasks, F.pmod(F.col("nth") * parts + F.col("part"), F.lit(tasks)).cast("int")).drop("nth", "part")
+    found = dealt.sortWithinPartitions("bucket").mapInArrow(_joined(tables, budget, chunks, parts), "u long, v long, links long")
     return S.written(found, "links")
 
 

@@ -82,6 +82,42 @@ def test_edges_and_links_equal_brute_force(spark, monkeypatch, hot):
     assert up == union_find(range(len(fp)), want)
 
 
+def far_apart_family(seed, n=30, each=4):
+    """Fingerprints whose pairs differ in BUDGET bits exactly, or in one more, spread evenly: what bit samples find least."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+        out.append(base)
+        for e in range(each):
+            fp = base.copy()
+            for b in rng.choice(256, O.BUDGET + e % 2, replace=False):
+                fp[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+            out.append(fp)
+    return np.unique(np.array(out), axis=0)
+
+
+@pytest.mark.parametrize(("hot", "budget"), [(10**6, O.BUDGET), (600, O.BUDGET), (40, O.BUDGET), (10**6, 10), (10**6, 60)])
+def test_no_pair_within_the_budget_is_lost(spark, monkeypatch, hot, budget):
+    """All pairs by brute force, though many of them differ in the whole budget; chunks of all sizes, and other budgets."""
+    monkeypatch.setattr(O, "HOT", hot)
+    fp = np.concatenate([far_apart_family(3, 300 if hot >= 600 and budget == O.BUDGET else 30), family(5, 20, 5, 40), np.random.default_rng(2).integers(0, 2**63, (200, 4), dtype=np.uint64)])
+    near = brute(fp, budget)
+    assert len(near) > (10 if budget < O.BUDGET else 100)
+    rows = [(1000 + k, *map(int, f)) for k, f in enumerate(fp.view(np.int64))]
+    found = O.near_edges(spark.createDataFrame(rows, f"{O.ID} long, " + ", ".join(f"{c} long" for c in O.FP)).repartition(3), len(fp), budget).collect()
+    links = collections.Counter()
+    for r in found:
+        links[r["u"] - 1000] += r["links"]
+    assert +links == collections.Counter(k for p in near for k in p)
+    assert union_find(range(len(fp)), [(r["u"] - 1000, r["v"] - 1000) for r in found if not r["links"]]) == union_find(range(len(fp)), near)
+
+
+def test_several_pairs_of_chunks_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(O, "MOST_TASKS", 3)
+    test_no_pair_within_the_budget_is_lost(spark, monkeypatch, 40, O.BUDGET)
+
+
 def union_find(nodes, edges):
     up = {x: x for x in nodes}
 
