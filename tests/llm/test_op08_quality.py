@@ -59,6 +59,41 @@ def test_held_out_accuracy(spark):
     assert kept_good >= 0.98 and caught >= 0.85
 
 
+def plain_threshold(score, good):
+    best, at = -1.0, np.inf
+    for cut in np.unique(score):
+        hit, wrong = ((score >= cut) & ~good).sum(), ((score >= cut) & good).sum()
+        if wrong <= O.FALSE_ALARM * good.sum() and (f1 := 2 * hit / (hit + wrong + (~good).sum())) > best:
+            best, at = f1, float(cut)
+    return at
+
+
+def test_threshold_equals_trying_every_cut(spark):
+    rng = np.random.default_rng(8)
+    for n, steps in ((3000, 10**6), (3000, 40), (5, 3), (0, 1)):
+        good = rng.random(n) < 0.9
+        score = np.round(np.where(good, rng.normal(0.4, 0.04, n), rng.normal(0.5, 0.05, n)) * steps) / steps
+        frame = spark.createDataFrame(list(zip(score.tolist(), good.astype(int).tolist(), strict=True)), "score double, label int")
+        assert O.threshold(frame) == plain_threshold(score, good)
+
+
+def test_every_labelled_row_takes_part(spark):
+    """12,000 labelled rows, whose bad ones are none of the 10,000 that come first by the hash of the sample that was once taken."""
+    n, rng = 12000, random.Random(3)
+    late = spark.range(n).selectExpr("cast(id as long) id").orderBy(O.F.xxhash64("id", O.F.lit(17))).toArrow().column(0).to_pylist()[10000:]
+    bad = set(late[:120])
+    texts = [" ".join(f"w{rng.randrange(900)}{'###' if k in bad else ''}" for _ in range(20)) for k in range(n)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, int(k not in bad), 0) for k in range(n)], "doc_id long, quality int, toxic int")
+    rows = O.numbered(O.measured(docs), labels).orderBy("at").toArrow()
+    assert rows.column("at").to_pylist() == list(range(n)) and sum(rows.column("label").to_pylist()) == n - 120
+    out = O.quality(docs, labels).collect()
+    assert all(r["score"] is not None for r in out)
+    forest = O.fit(O.numbered(O.measured(docs), labels))
+    score, good = forest.score(O._matrix(rows)), rows.column("label").to_numpy() == 1
+    assert forest.threshold == plain_threshold(score, good)
+    assert sum(not r["keep"] for r in out if r["doc_id"] in bad) >= 60 and sum(not r["keep"] for r in out if r["doc_id"] not in bad) <= 60
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     none = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (4, 9, 0)], "doc_id long, quality int, toxic int")
