@@ -8,7 +8,7 @@ import corpus_pipeline as P
 from graphloom.llm import op02_toxicity, op03_bpe, op05_simhash, op07_mixing
 from tests.llm.common import awkward, docs_of
 from tests.llm.test_op02_toxicity import corpus
-from tests.llm.test_op05_simhash import brute, union_find
+from tests.llm.test_op05_simhash import brute, far_apart_family, union_find
 
 
 def test_stages_keep_the_columns_and_run_over_all_rows(spark, tmp_path):
@@ -55,6 +55,19 @@ def test_stages_keep_the_columns_and_run_over_all_rows(spark, tmp_path):
     assert not any("jo@example.org" in t for _, t in map(tuple, op03_bpe.decoded(out).collect()))
 
 
+def test_near_duplicate_stage_loses_no_pair(spark, monkeypatch):
+    """Many pairs differ in the whole budget; of each group by brute force the row with the least doc_id stays, and no other goes."""
+    fp = far_apart_family(3, 300)
+    docs = docs_of(spark, [f"text {k}" for k in range(len(fp))])
+    by_id = spark.createDataFrame([(k, *map(int, f)) for k, f in enumerate(fp.view("int64"))], f"{op05_simhash.ID} long, " + ", ".join(f"{c} long" for c in op05_simhash.FP))
+    text = docs.selectExpr(f"doc_id as {op05_simhash.ID}", f"xxhash64(text) as {op05_simhash.TH}")
+    monkeypatch.setattr(op05_simhash, "signatures", lambda _: text.join(by_id, op05_simhash.ID))
+    group = union_find(range(len(fp)), brute(fp, op05_simhash.BUDGET))
+    assert len(set(group.values())) == 900
+    kept = [r["doc_id"] for r in P.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(set(group.values()))
+
+
 def test_stages_one_by_one_on_awkward_rows(spark, tmp_path):
     docs = awkward(spark)
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
