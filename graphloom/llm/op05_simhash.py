@@ -14,8 +14,8 @@ none is found twice. Pairs are never listed as a whole: pieces of them go into a
 counted in the first table that finds it. Connected components by alternating large-star and small-star steps give the groups.
 
 Defined results: null, empty and white-space-only texts have no fingerprint and are never duplicates; rows with a null
-doc_id take no part in `near_duplicates` (nothing names them), and `drop_near_duplicates` keeps them; repeated rows are
-duplicates of each other and one stays; of a group the row with the least doc_id stays; an empty table gives an empty result; other columns are passed
+doc_id take no part in `near_duplicates` (nothing names them), but in `drop_near_duplicates` they do, after all others; repeated rows are
+duplicates of each other and one stays; unlike texts of one doc_id are none; of a group the row with the least doc_id stays; an empty table gives an empty result; other columns are passed
 through untouched, whatever their names.
 """
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import _shared as S
@@ -87,10 +87,10 @@ ID, TH = f"{S.OWN}id", f"{S.OWN}th"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row for each document that has words: its id, a hash of its text, its fingerprint."""
+    """One row for each document that has words: its id (null too), a hash of its text, its fingerprint."""
     S.ship(docs.sparkSession)
     skinny = docs.select(F.col("doc_id").cast("long").alias(ID), F.xxhash64("text").alias(TH), F.col("text").alias(f"{S.OWN}text"))
-    return skinny.where(F.col(f"{S.OWN}text").isNotNull() & F.col(ID).isNotNull()).mapInArrow(_sign, f"{ID} long, {TH} long, " + ", ".join(f"{c} long" for c in FP))
+    return skinny.where(F.col(f"{S.OWN}text").isNotNull()).mapInArrow(_sign, f"{ID} long, {TH} long, " + ", ".join(f"{c} long" for c in FP))
 
 
 def layout(n: int, budget: int = BUDGET) -> tuple[int, int]:
@@ -345,8 +345,8 @@ def near_edges(distinct: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
 def groups(docs: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(signatures, fingerprints): every signature row; and for each fingerprint its group and its number of links to other fingerprints."""
     sig = S.written(signatures(docs), "simhash")
-    # equal fingerprints first, so that a text copied a thousand times enters the join once
-    same = S.written(sig.groupBy(*FP).agg(F.min(ID).alias(ID)), "fingerprints")
+    # equal fingerprints first, so that a text copied a thousand times enters the join once; numbered, as a doc_id may be null or have several
+    same = S.written(sig.select(*FP).distinct().withColumn(ID, F.monotonically_increasing_id()), "fingerprints")
     near = near_edges(same, same.count(), budget)
     found = components(near.where("links = 0").select("u", "v").distinct())
     links = near.where("links > 0").groupBy(F.col("u").alias(ID)).agg(F.sum("links").alias(f"{S.OWN}l"))
@@ -354,14 +354,19 @@ def groups(docs: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]
     return sig, group.select(*FP, F.coalesce(f"{S.OWN}g", ID).alias(f"{S.OWN}g"), F.coalesce(f"{S.OWN}l", F.lit(0)).alias(f"{S.OWN}l"))
 
 
+def _place() -> Column:
+    """Where a row stands in its group: by doc_id, those without one last, then by its text."""
+    return F.struct(F.col(ID).isNull().alias("none"), F.coalesce(ID, F.lit(0)).alias("id"), F.col(TH).alias("text"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row for each document of a group of two or more: doc_id, group_id (its least doc_id), group_size, links (other fingerprints that are near its own), keep."""
-    sig, group = groups(docs, budget)
+    sig, group = groups(docs.where(F.col("doc_id").cast("long").isNotNull()), budget)
     rows = sig.join(group, FP)
-    size = rows.groupBy(f"{S.OWN}g").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(ID, TH)).alias(f"{S.OWN}first")).where("group_size > 1")
+    size = rows.groupBy(f"{S.OWN}g").agg(F.count(F.lit(1)).alias("group_size"), F.min(_place()).alias(f"{S.OWN}first")).where("group_size > 1")
     named = rows.join(size, f"{S.OWN}g")
-    first = F.struct(ID, TH) == F.col(f"{S.OWN}first")
-    kept = named.select(F.col(ID).alias("doc_id"), F.col(f"{S.OWN}g").alias("group_id"), "group_size", F.col(f"{S.OWN}l").alias("links"), first.alias("keep"), TH)
+    first = _place() == F.col(f"{S.OWN}first")
+    kept = named.select(F.col(ID).alias("doc_id"), F.col(f"{S.OWN}first.id").alias("group_id"), "group_size", F.col(f"{S.OWN}l").alias("links"), first.alias("keep"), TH)
     # repeated rows with one id and one text: one of them stays
     nth = F.row_number().over(Window.partitionBy("doc_id", TH).orderBy("group_id"))
     return kept.withColumn("keep", F.col("keep") & (nth == 1)).drop(TH)
@@ -372,12 +377,13 @@ def drop_near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     sig, group = groups(docs, budget)
     rows = sig.join(group, FP).groupBy(ID, TH).agg(F.min(f"{S.OWN}g").alias(f"{S.OWN}g"), F.count("*").alias(f"{S.OWN}rows"))
     # per (doc_id, text): is one of its rows the one that stays, and how many rows are there; a group of a third of all rows is added up before it is shuffled
-    least = rows.groupBy(f"{S.OWN}g").agg(F.min(F.struct(ID, TH)).alias("least"))
-    verdict = rows.join(least, f"{S.OWN}g").select(ID, TH, F.when(F.struct(ID, TH) == F.col("least"), 1).otherwise(2).alias(f"{S.OWN}first"), f"{S.OWN}rows")
+    least = rows.groupBy(f"{S.OWN}g").agg(F.min(_place()).alias("least"))
+    verdict = rows.join(least, f"{S.OWN}g").select(F.col(ID).alias(f"{S.OWN}vid"), F.col(TH).alias(f"{S.OWN}vth"), F.when(_place() == F.col("least"), 1).otherwise(2).alias(f"{S.OWN}first"), f"{S.OWN}rows")
     verdict = S.written(verdict.where(f"{S.OWN}first > 1 or {S.OWN}rows > 1"), "verdict")
     own = docs.withColumns({ID: F.col("doc_id").cast("long"), TH: F.xxhash64("text")})
     # texts meet the verdict by a hash join at every size: the verdict grows with the data, so it is never broadcast, and texts are not sorted
-    marked = own.join(verdict.hint("shuffle_hash"), [ID, TH], "left").where(F.coalesce(F.col(f"{S.OWN}first"), F.lit(1)) == 1)
+    met = F.col(ID).eqNullSafe(F.col(f"{S.OWN}vid")) & (F.col(TH) == F.col(f"{S.OWN}vth"))
+    marked = own.join(verdict.hint("shuffle_hash"), met, "left").where(F.coalesce(F.col(f"{S.OWN}first"), F.lit(1)) == 1)
     if not verdict.where(f"{S.OWN}first = 1").isEmpty():  # repeated rows with one id and one text: one of them stays
         nth = F.row_number().over(Window.partitionBy(ID, TH).orderBy(F.lit(1)))
         marked = marked.withColumn(f"{S.OWN}nth", F.when(F.col(f"{S.OWN}rows").isNotNull(), nth).otherwise(1)).where(f"{S.OWN}nth = 1")

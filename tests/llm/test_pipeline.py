@@ -68,6 +68,17 @@ def test_near_duplicate_stage_loses_no_pair(spark, monkeypatch):
     assert sorted(kept) == sorted(set(group.values()))
 
 
+def test_near_duplicate_stage_takes_rows_that_no_id_names(spark):
+    """Rows without doc_id are near duplicates of others and of each other; unlike texts of one doc_id are none."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcd")
+    rows = [(7, a), (None, a), (None, a.replace("a5 ", "other ")), (3, a.upper()), (None, b), (None, b), (None, b + " more"), (5, c), (5, d), (6, d + " more"), (None, "  "), (None, "  "), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    out = P.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = {r["n_chars"] for r in out.collect()}
+    assert len(kept & {4, 5, 6}) == 1 and kept - {4, 5, 6} == {3, 7, 8, 10, 11, 12}
+
+
 def test_stages_one_by_one_on_awkward_rows(spark, tmp_path):
     docs = awkward(spark)
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
