@@ -87,16 +87,22 @@ def resolved(triplets: DataFrame, entities: DataFrame) -> DataFrame:
     return triplets.join(a, "subject_id").join(b, "object_id")
 
 
+def _ends(triplets: DataFrame) -> DataFrame:
+    """Each id at an end of a triplet once, without null; each task keeps an id once before anything is shuffled."""
+    return triplets.select(F.col("subject_id").alias("id")).union(triplets.select(F.col("object_id").alias("id"))).where("id is not null").distinct()
+
+
 def dangling(triplets: DataFrame, entities: DataFrame) -> DataFrame:
-    ids = entities.select("id").distinct()
-    t = triplets.select("subject_id", "predicate", "object_id")
-    a, b = ids.select(F.col("id").alias("subject_id"), F.lit(True).alias("has_s")), ids.select(F.col("id").alias("object_id"), F.lit(True).alias("has_o"))
-    return t.join(a, "subject_id", "left").join(b, "object_id", "left").where("has_s is null or has_o is null").select("subject_id", "predicate", "object_id", F.col("has_s").isNull().alias("no_subject"), F.col("has_o").isNull().alias("no_object"))
+    """Triplets an end of which is no entity, repeated ones too. Only the distinct ends meet the entities; those that none has are written, so that the triplets themselves are shuffled only where these are too many to broadcast."""
+    missing = written(_ends(triplets).join(entities.select("id"), "id", "left_anti"), "missing")
+    a, b = missing.select(F.col("id").alias("subject_id"), F.lit(True).alias("no_s")), missing.select(F.col("id").alias("object_id"), F.lit(True).alias("no_o"))
+    t = triplets.select("subject_id", "predicate", "object_id").join(a, "subject_id", "left").join(b, "object_id", "left")
+    no_subject, no_object = F.col("subject_id").isNull() | F.col("no_s").isNotNull(), F.col("object_id").isNull() | F.col("no_o").isNotNull()
+    return t.where(no_subject | no_object).select("subject_id", "predicate", "object_id", no_subject.alias("no_subject"), no_object.alias("no_object"))
 
 
 def isolated(triplets: DataFrame, entities: DataFrame) -> DataFrame:
-    ends = triplets.select(F.col("subject_id").alias("id")).union(triplets.select(F.col("object_id").alias("id")))
-    return entities.join(ends, "id", "left_anti")
+    return entities.join(_ends(triplets), "id", "left_anti")
 
 
 def relation_texts(triplets: DataFrame, index: DataFrame) -> DataFrame:

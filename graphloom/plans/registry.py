@@ -152,7 +152,7 @@ def edges_resolved(spark, sf):
 @query(f"""WITH {ENTITIES}, {TRIPLETS}, d AS (SELECT DISTINCT subject_id, predicate, object_id FROM t)
 SELECT d.*, a.id IS NULL AS no_subject, b.id IS NULL AS no_object FROM d LEFT JOIN e a ON a.id = subject_id LEFT JOIN e b ON b.id = object_id WHERE a.id IS NULL OR b.id IS NULL""")
 def edges_dangling(spark, sf):
-    return graph.dangling(graph.dedup_triplets(star.triplets(spark, sf)), star.entities(spark, sf))
+    return graph.dangling(star.triplets(spark, sf), star.entities(spark, sf)).distinct()
 
 
 @query(f"WITH {ENTITIES}, {TRIPLETS} SELECT id, type FROM e WHERE id NOT IN (SELECT subject_id FROM t) AND id NOT IN (SELECT object_id FROM t)")

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from graphloom.operators import graph, retrieve
 from graphloom.plans import registry
@@ -75,6 +76,23 @@ def test_dangling_and_isolated_in_a_fixture(spark):
     assert sorted(r["text"] for r in graph.relation_texts(t, graph.entity_index(e)).collect()) == [" is ", "A is ", "A is B"]
 
 
+def test_dangling_edges_shuffle_distinct_ends_alone(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        e = spark.range(20000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"))
+        end = lambda n: F.concat(F.lit("e"), (F.col("id") % n).cast("string"))
+        t = spark.range(60000).select(end(20003).alias("subject_id"), F.lit("is").alias("predicate"), F.when(F.col("id") % 20001 > 0, end(20002)).alias("object_id"))
+        got = graph.dangling(t, e)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        name = lambda k, n: f"e{k % n}"
+        want = [(name(k, 20003), "is", name(k, 20002) if k % 20001 else None, k % 20003 >= 20000, not k % 20001 or k % 20002 >= 20000) for k in range(60000)]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(w) for w in want if w[3] or w[4])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_texts_count_to_their_end(spark):
     got = agree(spark, "option_argmax", "lexical_topk", "lexical_context", "clean_options")
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
