@@ -55,6 +55,8 @@ def merge_entities(entities: DataFrame) -> DataFrame:
 def dedup_triplets(triplets: DataFrame) -> DataFrame:
     """The first of each (subject_id, predicate, object_id), with its payload; each task keeps its first before anything is shuffled."""
     keys = ["subject_id", "predicate", "object_id"]
+    if set(triplets.columns) == {*keys, "seq"}:  # no payload: counted in a hash table, nothing is sorted
+        return triplets.groupBy(*keys).agg(F.min("seq").alias("seq")).select(*triplets.columns)
     first = triplets.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in triplets.columns if c not in keys]), "seq").alias("r"))
     return first.select(*keys, "r.*").select(*triplets.columns)
 
@@ -105,17 +107,18 @@ def isolated(triplets: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.join(_ends(triplets), "id", "left_anti")
 
 
-def relation_texts(triplets: DataFrame, index: DataFrame) -> DataFrame:
-    """'<subject label> <predicate> <object label>' with '' for ends that aren't there."""
+def relation_texts(triplets: DataFrame, index: DataFrame, *also: str) -> DataFrame:
+    """'<subject label> <predicate> <object label>' with '' for ends that aren't there. also: further columns of the triplets that stay."""
     s, o = index.select(F.col("key").alias("subject_id"), F.col("name").alias("s_name")), index.select(F.col("key").alias("object_id"), F.col("name").alias("o_name"))
     named = triplets.join(s, "subject_id", "left").join(o, "object_id", "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return named.select("subject_id", "predicate", "object_id", F.concat(blank("s_name"), F.lit(" "), "predicate", F.lit(" "), blank("o_name")).alias("text"))
+    return named.select("subject_id", "predicate", "object_id", F.concat(blank("s_name"), F.lit(" "), "predicate", F.lit(" "), blank("o_name")).alias("text"), *also)
 
 
-def entity_texts(entities: DataFrame, most: int = 500) -> DataFrame:
+def entity_texts(entities: DataFrame, most: int = 500, *also: str) -> DataFrame:
+    """also: further columns of the entities that stay."""
     t = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("original_text", F.lit("")))
-    return entities.select(F.col("id").alias("entity_id"), F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t).alias("text"))
+    return entities.select(F.col("id").alias("entity_id"), F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t).alias("text"), *also)
 
 
 def type_histogram(entities: DataFrame) -> DataFrame:
@@ -151,20 +154,19 @@ def turtle_lines(graph: KnowledgeGraph, strict: bool = False, language: str = "v
 
 
 def retrieval_chunks(graph: KnowledgeGraph, index: DataFrame | None = None) -> DataFrame:
-    """id (from 0: entities by seq, then relations by seq), type, text, entity_id, subject_id, predicate, object_id."""
-    e = entity_texts(graph.entities).join(graph.entities.select(F.col("id").alias("entity_id"), "seq"), "entity_id")
-    t = graph.triplets
-    r = relation_texts(t, entity_index(graph.entities) if index is None else index).join(t.select("subject_id", "predicate", "object_id", "seq"), ["subject_id", "predicate", "object_id"])
+    """id (from 0: entities by seq, then relations by seq), type, text, entity_id, subject_id, predicate, object_id. One chunk a row of the graph, also where an id is null or repeated."""
+    e = entity_texts(graph.entities, 500, "seq")
+    r = relation_texts(graph.triplets, entity_index(graph.entities) if index is None else index, "seq")
     both = e.select(F.lit(0).alias("part"), "seq", F.lit("entity").alias("type"), "text", "entity_id").unionByName(r.select(F.lit(1).alias("part"), "seq", F.lit("relation").alias("type"), "text", "subject_id", "predicate", "object_id"), allowMissingColumns=True)
     return numbered(both, "part", "seq", "subject_id", "object_id", "predicate", "entity_id").drop("part", "seq")
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with id, from 0 in this order: a distributed sort, then each partition counts on from those before it. Written in between, so that both steps see one order."""
-    ordered = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_p", F.shiftright("_at", 33))
+    """df with id, from 0 in this order, nulls last: a distributed sort, then each partition counts on from those before it. Written in between, so that both steps see one order."""
+    ordered = written(df.orderBy(*[F.asc_nulls_last(c) for c in order]).withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_p", F.shiftright("_at", 33))
     sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
     before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
-    return ordered.join(before, "_p").withColumn("id", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_before")
+    return ordered.join(F.broadcast(before), "_p").withColumn("id", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_before")
 
 
 def node_properties(keys: Column) -> Column:

@@ -220,6 +220,20 @@ def test_large_turtle(spark):
     check_turtle(spark, GOLDEN, *map(int, SIZES.split()))
 
 
+def test_chunks_are_shuffled_for_their_names_and_order_alone(spark):
+    e = spark.createDataFrame([("a", ["A"], "d", "", 1), ("a", ["A"], "e", "", 2), (None, ["N"], "n", "", 3)], "id string, label array<string>, description string, original_text string, seq long")
+    t = spark.createDataFrame([("a", "is", "a", 5), ("a", "is", "a", 6), (None, "is", "a", 7), ("a", "is", None, 7)], "subject_id string, predicate string, object_id string, seq long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graph.retrieval_chunks(graph.KnowledgeGraph(e, t))
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = [(r["id"], r["text"], r["entity_id"], r["subject_id"], r["object_id"]) for r in got.orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert rows == [(0, "d ", "a", None, None), (1, "e ", "a", None, None), (2, "n ", None, None, None), (3, "A is A", None, "a", "a"), (4, "A is A", None, "a", "a"), (5, "A is ", None, "a", None), (6, " is A", None, None, "a")]
+
+
 def test_retrieval_chunks(spark):
     e = entities(spark).where("seq <> 3 and seq <> 2")
     got = graph.retrieval_chunks(graph.KnowledgeGraph(e, graph.dedup_triplets(triplets(spark)))).orderBy("id").collect()
