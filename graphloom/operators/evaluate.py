@@ -15,9 +15,18 @@ from graphloom.operators import models, retrieve
 
 
 def option_scores(options: Column, context: Column) -> Column:
-    """For each option its words of more than 3 characters that the context contains."""
-    count = lambda low: F.transform(options, lambda o: F.size(F.filter(T.tokens(F.lower(o)), lambda w: (F.length(w) > 3) & F.contains(low, w))))
-    return F.transform(F.array(F.lower(context)), count)[0]  # by way of an array, so that the context is lower-cased once and not for each word
+    """For each option its words of more than 3 characters that the context contains.
+
+    A word that is a word of the context is contained; only other ones are looked for in it, each once. Values are passed by way of arrays, so that each is computed once and not for each word.
+    """
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    long = lambda o: F.filter(T.tokens(F.lower(o)), lambda w: F.length(w) > 3)
+
+    def count(words: Column, low: Column) -> Column:
+        lacking = F.filter(F.array_except(F.flatten(F.filter(words, lambda ws: ws.isNotNull())), T.tokens(low)), lambda w: ~F.contains(low, w))
+        return once(lacking, lambda none: F.transform(words, lambda ws: F.size(F.when(F.size(none) == 0, ws).otherwise(F.filter(ws, lambda w: ~F.array_contains(none, w))))))
+
+    return once(F.struct(F.transform(options, long).alias("words"), F.lower(context).alias("low")), lambda x: count(x["words"], x["low"]))
 
 
 def best_option(scores: Column) -> Column:

@@ -1,6 +1,9 @@
 """Evaluation end to end, against a plain loop over questions; conversion of collected question sets; the command line."""
 
 import json
+import time
+
+from pyspark.sql import functions as F
 
 import graphloom.__main__ as command
 from graphloom.operators import evaluate, ingest, models
@@ -72,6 +75,18 @@ def test_evaluation_equals_a_loop(spark):
     assert none.count() == left.count() == evaluate.totals(none, left).where("total > 0").count() == 0
 
 
+def test_option_words_are_not_looked_for_one_by_one(spark):
+    o = "array<string>"
+    rows = spark.createDataFrame([(["Alpha alpha beta", "betas gamma", None, ""], "alphabet BETA gamma"), (None, "abcd"), (["abcd x"], None), (["one four-five four", "zzzz"], "FOUR-FIVE ones")], f"o {o}, c string")
+    assert [r[0] for r in rows.select(evaluate.option_scores(F.col("o"), F.col("c"))).collect()] == [[3, 1, None, 0], None, [0], [2, 0]]
+    n = 150_000  # word by word this takes minutes
+    words = [f"w{k:06d}" for k in range(n)]
+    one = spark.createDataFrame([([" ".join(words[: n // 2]), " ".join(words[n // 2 :]) + " none"], " ".join(words))], f"o {o}, c string")
+    began = time.monotonic()
+    assert one.select(evaluate.option_scores(F.col("o"), F.col("c"))).first()[0] == [n // 2, n // 2]
+    assert time.monotonic() - began < 15
+
+
 def test_a_model_answers(spark):
     q, e = frames(spark)
     seen = evaluate.evaluated(q, e, make=lambda: lambda prompts: ["I choose B"] * len(prompts))[0].collect()
