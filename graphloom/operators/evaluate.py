@@ -111,7 +111,7 @@ def evaluated(questions: DataFrame, entities: DataFrame, first: dict[str, int] |
     corpus = entities.select(F.col("seq").cast("long").alias("id"), "description", "original_text")
     labels = entities.select(F.posexplode("label").alias("place", "label"), "seq").select("label", F.struct("seq", "place").alias("seq"))
     query = retrieve.expanded(rows.select("q_id", F.col("asked").alias("question")), labels).withColumnRenamed("query", "question")
-    context = retrieve.lexical_context(retrieve.lexical_topk(query, corpus, k), corpus, query)
+    context = retrieve.lexical_context(retrieve.lexical_topk(query, corpus, k), corpus, rows.select("q_id").distinct())
     full = rows.join(context, "q_id").withColumn("texts", F.transform("options", lambda o: o["answer"]))
     if make is None:
         answers = full.withColumn("response", best_option(option_scores(F.col("texts"), F.col("context")))).withColumn("a", F.when(tf, T.answer_letter(F.col("response"), True)).otherwise(T.answer_letter(F.col("response"))))

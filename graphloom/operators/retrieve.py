@@ -20,6 +20,10 @@ from graphloom.shipping import ship
 TOGETHER = 5000
 #: Query vectors, and vectors, of a block.
 ASKED, BLOCK = 512, 4096
+#: Words of texts that a task holds at most until it scores them.
+HELD = 200_000
+#: First characters of a label by which it meets questions: of one that has fewer than LONG, SHORT.
+SHORT, LONG = 3, 8
 
 
 def lexical_topk(questions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
@@ -58,24 +62,39 @@ def _scores(asked: list[tuple[int, list[str]]], k: int):
         if vocabulary:
             machine.make_automaton()
 
-        def scores(text: str) -> np.ndarray:
-            """For each question its words that the text contains, with repetition: from the lists of these words alone."""
-            found = np.fromiter({n for _, n in machine.iter(text)}, np.int64)
+        def words(text: str) -> frozenset[int]:
+            return frozenset(n for _, n in machine.iter(text))
+
+        def scores(of: frozenset[int]) -> np.ndarray:
+            """For each question its words among these, with repetition: from the lists of these words alone."""
+            found = np.fromiter(of, np.int64, len(of))
             size = first[found + 1] - first[found]
             ends = np.cumsum(size)
             at = np.repeat(first[found] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
             return np.bincount(pairs[at, 1], times[at], len(ids)).astype(np.int64)
 
-        best = [np.zeros((0, 3), np.int64)]
+        def hits(alike: dict[tuple[frozenset[int], frozenset[int]], list[int]]) -> Iterator[np.ndarray]:
+            """Rows of equal words have equal scores: the k least ids of them are enough."""
+            for (of_d, of_o), rows in alike.items():
+                score = 2 * scores(of_d) + scores(of_o) if of_d != of_o else 3 * scores(of_d)
+                hit = np.flatnonzero(score)
+                yield from (np.stack([hit, np.full(len(hit), i), score[hit]], 1) for i in sorted(rows)[:k])
+
+        best = np.zeros((0, 3), np.int64)
         for b in batches:
+            rows, alike, held = [best], {}, 0
             for i, d, o in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if not vocabulary:
                     continue
-                score = 2 * scores(d) + scores(o) if d != o else 3 * scores(d)
-                hit = np.flatnonzero(score)
-                best.append(np.stack([hit, np.full(len(hit), i), score[hit]], 1))
-            best = [_few(np.concatenate(best), k)]
-        rows = best[0] if len(best) == 1 else _few(np.concatenate(best), k)
+                of_d = words(d)
+                same = alike.setdefault((of_d, of_d if d == o else words(o)), [])
+                same.append(i)
+                held += len(of_d) if len(same) == 1 else 0
+                if held > HELD:
+                    rows += hits(alike)
+                    alike, held = {}, 0
+            best = _few(np.concatenate([*rows, *hits(alike)]), k)
+        rows = best
         yield pa.RecordBatch.from_arrays([pa.array(ids[rows[:, 0]]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=["q_id", "id", "score"])
 
     return run
@@ -90,7 +109,7 @@ def _few(rows: np.ndarray, k: int) -> np.ndarray:
 
 def lexical_context(top: DataFrame, entities: DataFrame, questions: DataFrame, most: int = 500) -> DataFrame:
     """(q_id, context): the found texts' first characters by rank; a fixed sentence where nothing is found."""
-    texts = top.join(entities.select("id", F.substring(F.coalesce("original_text", F.lit("")), 1, most).alias("t")), "id")
+    texts = F.broadcast(top).join(entities.select("id", F.substring(F.coalesce("original_text", F.lit("")), 1, most).alias("t")), "id")
     joined = texts.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), "\n\n").alias("c"))
     return questions.select("q_id").join(joined, "q_id", "left").select("q_id", F.coalesce(F.nullif("c", F.lit("")), F.lit(T.NOTHING_FOUND)).alias("context"))
 
@@ -98,13 +117,15 @@ def lexical_context(top: DataFrame, entities: DataFrame, questions: DataFrame, m
 def expanded(questions: DataFrame, labels: DataFrame) -> DataFrame:
     """(q_id, query): the question, a space and the labels that it contains (case aside), in order of seq. labels: label, seq.
 
-    A question contains a label only if it contains the label's first 3 characters (all, if it has fewer), so the two meet by an equi-join on those, and are verified then.
+    A question contains a label only if it contains the label's first characters, SHORT or LONG (all, if it has fewer), so the two meet by an equi-join on these, and are verified then.
     """
+    cut = lambda low, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda p: F.substring(low, p, n))
+    keys = lambda low: F.array_distinct(F.concat(F.array(F.lit("")), *[cut(low, n) for n in range(1, SHORT + 1)], cut(low, LONG)))  # noqa: E731 - shorter ones at the end do no harm
     low = F.lower(F.coalesce("question", F.lit("")))
-    places = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda p: F.substring(low, p, n))
-    keys = F.array_distinct(F.concat(F.array(F.lit("")), places(1), places(2), places(3)))  # shorter ones at the end do no harm
-    asked = questions.select("q_id", "question", low.alias("low"), F.explode(keys).alias("key"))
-    named = labels.where("label is not null").select("label", "seq", F.substring(F.lower("label"), 1, 3).alias("key"))
+    # by way of an array, so that the question is computed once and not for each place
+    asked = questions.select("q_id", "question", F.explode(F.transform(F.array(low), lambda x: F.struct(x.alias("low"), keys(x).alias("keys")))).alias("x")).select("q_id", "question", "x.low", F.explode("x.keys").alias("key"))
+    name = F.lower("label")
+    named = labels.where("label is not null").select("label", "seq", F.when(F.length(name) < LONG, F.substring(name, 1, SHORT)).otherwise(F.substring(name, 1, LONG)).alias("key"))
     near = asked.join(named, "key").where(F.contains("low", F.lower("label")))
     joined = near.groupBy("q_id", "question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda x: x["label"]), " ").alias("l"))
     return questions.select("q_id", "question").distinct().join(joined.select("q_id", "question", "l"), ["q_id", "question"], "left").select("q_id", F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("l", F.lit(""))).alias("query"))

@@ -46,6 +46,28 @@ def test_second_search_fills_up(spark):
     assert sorted(map(tuple, retrieve.merged(first, second, contents).collect())) == [(1, 6, 3), (1, 7, 1), (1, 9, 2), (2, 5, 3), (2, 7, 1), (2, 9, 2)]
 
 
+def test_texts_of_equal_words_are_scored_once(spark, monkeypatch):
+    asked = [(1, ["red", "blue"]), (2, ["blue", "blue"])]
+    rows = [(k, f"{'red' if k % 3 else 'blue'} {k}", "blue") for k in range(999, 0, -1)]
+    batch = pa.RecordBatch.from_pylist([dict(zip("ido", r, strict=True)) for r in rows])
+    want = [(q, i, s) for q, ws in asked for s, i in [(-x, i) for x, i in sorted((-sum(2 * (w in d) + (w in o) for w in ws), i) for i, d, o in rows)[:5]]]
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: calls.append(1) or count(*a))
+    (out,) = retrieve._scores(asked, 5)(iter([batch]))
+    assert sorted(zip(*(out[c].to_pylist() for c in ("q_id", "id", "score")), strict=True)) == sorted(want) and len(calls) < 10
+    monkeypatch.setattr(retrieve, "HELD", 1)
+    (out,) = retrieve._scores(asked, 5)(iter([batch]))
+    assert sorted(zip(*(out[c].to_pylist() for c in ("q_id", "id", "score")), strict=True)) == sorted(want)
+
+
+def test_labels_of_every_length_are_found(spark):
+    asked = [(1, "abcdefghijkl ABCDEFGX"), (2, "ab"), (3, None), (4, "xabcdefghy")]
+    labels = ["", "a", "AB", "abc", "abcdefg", "abcdefgh", "abcdefghi", "bcdefghijkl", "abcdefgX", "abcdefghz", "l a", "Zabc"]
+    q = spark.createDataFrame(asked, "q_id long, question string")
+    got = {r["q_id"]: r["query"] for r in retrieve.expanded(q, spark.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, seq long")).collect()}
+    assert got == {k: f"{x or ''} " + " ".join(y for y in labels if y.lower() in (x or "").lower()) for k, x in asked}
+
+
 def agree(spark, *names):
     """Rows of the queries, which equal those of their SQL."""
     duckdb = importlib.import_module("duckdb")
